@@ -58,6 +58,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -86,7 +92,7 @@ FROM f LEFT JOIN r USING (page_id) LEFT JOIN listed ON f.canon = listed.canon
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_repetition, op7_decontaminate, op8_mixing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_token_store, op3_repetition, op7_decontaminate, op8_mixing, op9_jaccard_join, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, Any]:
