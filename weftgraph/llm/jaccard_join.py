@@ -192,7 +192,8 @@ def _may_link(n, s0, s1, i, j) -> np.ndarray:
     """Sizes within 0.8 of each other, and sketches that agree or don't count."""
     low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
     ok = 5 * low.astype(np.int64) >= 4 * high.astype(np.int64)
-    agree = 128 - np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) - np.bitwise_count(s1[i] ^ s1[j])
+    differ = (np.bitwise_count((a[i] ^ a[j]).view(np.uint64)).astype(np.int64) for a in (s0, s1))  # of signed numbers it counts the absolute value's
+    agree = 128 - sum(differ)
     return ok & ((agree >= SKETCH_AGREE) | (low < SKETCH_FROM))
 
 
