@@ -39,6 +39,13 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove
+
+    found = remove(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import items_digest, scan
 
@@ -92,7 +99,7 @@ FROM f LEFT JOIN r USING (page_id) LEFT JOIN listed ON f.canon = listed.canon
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_repetition, op7_decontaminate, op8_mixing, op9_jaccard_join, op10_url_filter)}
+    return {f.__name__: f for f in (op1_token_store, op3_repetition, op5_repeats, op7_decontaminate, op8_mixing, op9_jaccard_join, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, Any]:
