@@ -33,12 +33,26 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(spark, path)
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordinal import grade_of, score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(docs, labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")), 3)
+    return score(docs, model).withColumn("kept", F.col("p_best") >= 0.5)
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import repetition
 
     return repetition(table(spark, sf_dir, "documents"))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import anonymize
+
+    return anonymize(table(spark, sf_dir, "documents"))
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove
 
@@ -46,6 +60,13 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, train(docs))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import items_digest, scan
 
@@ -99,7 +120,7 @@ FROM f LEFT JOIN r USING (page_id) LEFT JOIN listed ON f.canon = listed.canon
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_repetition, op5_repeats, op7_decontaminate, op8_mixing, op9_jaccard_join, op10_url_filter)}
+    return {f.__name__: f for f in (op1_token_store, op2_ordinal_quality, op3_repetition, op4_surrogates, op5_repeats, op6_licenses, op7_decontaminate, op8_mixing, op9_jaccard_join, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, Any]:
