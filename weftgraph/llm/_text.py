@@ -58,6 +58,17 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and of each place the number of its value."""
+    by = np.argsort(values)
+    keys = values[by]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[by] = np.cumsum(fresh) - 1
+    return keys[fresh], by[fresh], which
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets (from 0) of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

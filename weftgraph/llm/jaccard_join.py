@@ -7,9 +7,9 @@ its hash lies below BRANCH / size, below each chosen token further tokens are
 chosen by the hash of the path, and classes that share a path share a bucket.
 Two sets of similarity 0.8 share BRANCH * 0.8 = 1 or more chosen tokens at
 every level, unlike sets almost none. Buckets of at most `SMALL` classes are
-brute-forced; larger ones are split by the next level of their paths; what is
-still large at the last level is compared block by block, so no bucket is
-capped. `RUNS` follows from the target recall (`runs_needed`).
+brute-forced; larger ones are split by the next token of their paths; what is
+still large then is compared block by block, first within blocks and then
+between blocks that are not connected yet, so no bucket is capped. `RUNS` follows from the target recall (`runs_needed`).
 
 Brute force in a bucket compares sizes and 128-bit min-hash sketches and
 keeps a spanning set of the pairs that may be similar. Their connected
@@ -50,11 +50,12 @@ BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
 SKETCH_FROM, SKETCH_AGREE = 64, 96
 _BINS = 128
 NULL_ID = -(2**63)
-BROADCAST_IDS = 1_000_000
+#: Ids or paths (8 bytes each) that may be broadcast, by count.
+BROADCAST_IDS = 500_000
 _SHINGLE_BASE = 0xD6E8FEB86659FD93
 
 
-def runs_needed(recall: float = RECALL, overlap: float = 0.8, depth: int = 4) -> int:
+def runs_needed(recall: float = RECALL, overlap: float = 0.8, depth: int = 3) -> int:
     """Runs until a pair that shares `overlap` of the larger set meets with probability `recall`, at the deepest level."""
     p = 1.0
     for _ in range(depth):
@@ -76,7 +77,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         inside = first + k < at[1:][owner]
         h += np.where(inside, word[np.minimum(first + k, max(0, len(word) - 1))], np.uint64(k + 1)) * np.uint64(pow(_SHINGLE_BASE, k + 1, 2**64))
     h = t.mix(h)
-    _, one = np.unique(t.mix(h + owner.astype(np.uint64) * np.uint64(t.BASE)), return_index=True)
+    _, one, _ = t.distinct(t.mix(h + owner.astype(np.uint64) * np.uint64(t.BASE)))
     one.sort()
     h, owner = h[one], owner[one]
     return h, np.searchsorted(owner, np.arange(n + 1))
@@ -112,26 +113,24 @@ def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits((filled & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
 
 
-def paths(h: np.ndarray, at: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray, list[list[list[int]]]]:
-    """(document, path of two tokens, its continuations [third, fourth...]) of all runs."""
+def paths(h: np.ndarray, at: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, path of two tokens) of all runs, and (number of such a path, its path of three tokens)."""
     n = len(at) - 1
     size = np.maximum(np.diff(at), 1)
     owner = np.repeat(np.arange(n), np.diff(at))
-    pool_at = np.minimum(POOL / size, 1.0)
     # As 32-bit thresholds: a hash counts as chosen if its high half lies below.
-    bar = (pool_at * 2**32).astype(np.uint64)[owner]
-    take = np.minimum(BRANCH / size, 1.0)
-    deeper = np.minimum(BRANCH / np.minimum(size, POOL), 1.0)
-    docs, seconds, tails = [], [], []
+    bar = (np.minimum(POOL / size, 1.0) * 2**32).astype(np.uint64)[owner]
+    take = (np.minimum(BRANCH / size, 1.0) * 2**32).astype(np.uint64)
+    deeper = (np.minimum(BRANCH / np.minimum(size, POOL), 1.0) * 2**32).astype(np.uint64)
+    docs, seconds, parents, thirds, base = [], [], [], [], 0
     for r in range(runs):
-        odd = np.uint64((pow(t.BASE, 2 * r + 3, 2**64)) | 1)
-        salt = np.array([(r + 1) * t.BASE % 2**64, (r + 1) * int(odd) % 2**64], np.uint64)
-        x = t.mix(salt[:1]) ^ h
-        x = (x * odd) >> np.uint64(32)
+        odd = pow(t.BASE, 2 * r + 3, 2**64) | 1
+        salt = np.array([(r + 1) * t.BASE % 2**64, (r + 1) * odd % 2**64], np.uint64)
+        x = ((t.mix(salt[:1]) ^ h) * np.uint64(odd)) >> np.uint64(32)
         pool = np.flatnonzero(x < bar)
         tok, doc = h[pool], owner[pool]
         begin = np.searchsorted(doc, np.arange(n + 1))
-        first = np.flatnonzero(x[pool] < (take[doc] * 2**32).astype(np.uint64))
+        first = np.flatnonzero(x[pool] < take[doc])
         node_doc, node = doc[first], t.mix(tok[first] + salt[1])
 
         def grow(node_doc, node, tok=tok, begin=begin):
@@ -140,45 +139,44 @@ def paths(h: np.ndarray, at: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndar
             parent = np.repeat(np.arange(len(node)), count)
             which = np.arange(len(parent)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[:-1][node_doc], count)
             child = t.mix(node[parent] * np.uint64(5) + tok[which])
-            chosen = (t.mix(child ^ np.uint64(0xA5A5A5A5)) >> np.uint64(32)) < (deeper[node_doc[parent]] * 2**32).astype(np.uint64)
+            chosen = (t.mix(child ^ np.uint64(0xA5A5A5A5)) >> np.uint64(32)) < deeper[node_doc[parent]]
             return parent[chosen], child[chosen]
 
         parent2, two = grow(node_doc, node)
         doc2 = node_doc[parent2]
         parent3, three = grow(doc2, two)
-        parent4, four = grow(doc2[parent3], three)
-        children: list[list[list[int]]] = [[] for _ in range(len(two))]
-        own = [[x] for x in three.view(np.int64).tolist()]
-        for p, x in zip(parent4.tolist(), four.view(np.int64).tolist(), strict=True):
-            own[p].append(x)
-        for p, x in zip(parent3.tolist(), own, strict=True):
-            children[p].append(x)
         docs.append(doc2)
         seconds.append(two.view(np.int64))
-        tails += children
-    return np.concatenate(docs), np.concatenate(seconds), tails
+        parents.append(parent3 + base)
+        thirds.append(three.view(np.int64))
+        base += len(two)
+    return np.concatenate(docs), np.concatenate(seconds), np.concatenate(parents), np.concatenate(thirds)
 
 
-_PATHS = "array<struct<p:long,more:array<array<long>>>>"
-_MEASURED = f"id long, cid long, n int, s0 long, s1 long, paths {_PATHS}"
+_MEASURED = "id long, cid long, n int, s0 long, s1 long, p array<long>, more array<array<long>>"
 
 
 def measured(docs: DataFrame, runs: int) -> DataFrame:
-    """A row per document: the number of its set, its size and sketch, and its paths."""
-    kind = pa.list_(pa.struct([("p", pa.int64()), ("more", pa.list_(pa.list_(pa.int64())))]))
+    """A row per document: the number of its set, its size and sketch, its paths and how they go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in t.slices(batches, "text"):
             n = rows.num_rows
             h, at = shingles(data, offsets)
-            doc, second, tails = paths(h, at, runs)
+            doc, second, parent, third = paths(h, at, runs)
             by = np.argsort(doc, kind="stable")
-            ends = np.searchsorted(doc[by], np.arange(n + 1))
-            flat = pa.StructArray.from_arrays([pa.array(second[by]), pa.array([tails[i] for i in by.tolist()], pa.list_(pa.list_(pa.int64())))], names=["p", "more"])
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            ends = pa.array(np.searchsorted(doc[by], np.arange(n + 1)).astype(np.int32))
+            child = np.argsort(place[parent], kind="stable")
+            inner = pa.array(np.searchsorted(place[parent][child], np.arange(len(by) + 1)).astype(np.int32))
             sk = sketches(h, at)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(set_ids(h, at)), pa.array(np.diff(at).astype(np.int32)), pa.array(sk[:, 0].copy()), pa.array(sk[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat).cast(kind)],
-                ["id", "cid", "n", "s0", "s1", "paths"],
+                [
+                    rows.column(0), pa.array(set_ids(h, at)), pa.array(np.diff(at).astype(np.int32)), pa.array(sk[:, 0].copy()), pa.array(sk[:, 1].copy()),
+                    pa.ListArray.from_arrays(ends, pa.array(second[by])), pa.ListArray.from_arrays(ends, pa.ListArray.from_arrays(inner, pa.array(third[child]))),
+                ],
+                ["id", "cid", "n", "s0", "s1", "p", "more"],
             )
 
     return _slim(docs).mapInArrow(run, _MEASURED)
@@ -283,25 +281,44 @@ def _merged_key(whole: pa.Table, n_keys: int) -> pa.Table:
     return pa.table([pa.array(np.cumsum(change)), *whole.columns[n_keys:]], names=names)
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of cids whose components hold all similar pairs that met. classes: cid, n, s0, s1, paths, staged."""
-    rows = classes.select("cid", "n", "s0", "s1", F.explode("paths").alias("x")).select("cid", "n", "s0", "s1", F.col("x.p").alias("p"), F.col("x.more").alias("more"))
+def candidate_edges(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of cids whose components hold all similar pairs that met.
+
+    rows: cid, p, more; classes: cid, n, s0, s1; both staged. Only paths and
+    numbers of sets are shuffled until it is known who shares a path.
+    """
+    about = classes.select("cid", "n", "s0", "s1")
+    pairs = rows.select("cid", F.explode("p").alias("p"))
     edges: DataFrame | None = None
-    for level in (2, 3, 4):
-        count = rows.groupBy("p").agg(F.count("*").alias("c")).where("c > 1")
-        shared = stage(rows.join(count, "p"), "buckets")
-        small = _edges_of(shared.where(F.col("c") <= SMALL), ["p"])
+    for level in (2, 3):
+        several = pairs.groupBy("p").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("p")
+        shared = stage(pairs.join(several, "p").distinct(), "jaccard-shared")
+        counts = stage(shared.groupBy("p").agg(F.count("*").alias("c")), "jaccard-counts")
+        small = shared.join(counts.where(F.col("c") <= SMALL).select("p"), "p").join(about, "cid")
+        small = _edges_of(small, ["p"])
         edges = small if edges is None else edges.unionByName(small)
-        large = shared.where(F.col("c") > SMALL)
-        if not large.limit(1).count():
+        large = counts.where(F.col("c") > SMALL)
+        n_large = large.count()
+        if not n_large:
             return edges
         if level == 2:
-            rows = large.select("cid", "n", "s0", "s1", F.explode("more").alias("x")).select("cid", "n", "s0", "s1", F.element_at("x", 1).alias("p"), F.slice("x", 2, F.greatest(F.size("x"), F.lit(1))).alias("more"))
-        elif level == 3:
-            rows = large.select("cid", "n", "s0", "s1", F.explode("more").alias("p"), F.lit(0).alias("more"))
-    # Still large after four tokens: blocks of the bucket, each with each.
-    blocks = large.withColumn("nb", F.ceil(F.col("c") / (SMALL // 2)).cast("int")).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("nb").cast("long")).cast("int"))
-    blocks = blocks.select("p", "cid", "n", "s0", "s1", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+            split = F.broadcast(large) if n_large <= BROADCAST_IDS else large
+            zipped = rows.select("cid", F.explode(F.arrays_zip("p", "more")).alias("x")).select("cid", F.col("x.p").alias("p"), F.col("x.more").alias("more"))
+            pairs = zipped.join(split.select("p"), "p").select("cid", F.explode("more").alias("p"))
+    # Still large after three tokens. First the bucket's blocks, each for itself:
+    # pairs that this and the other buckets connect need no further look, as all
+    # pairs of a component are decided later.
+    left = shared.join(large, "p").join(about, "cid")
+    left = stage(left.withColumn("nb", F.ceil(F.col("c") / BLOCK_ROWS).cast("int")).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("nb").cast("long")).cast("int")), "jaccard-left")
+    edges = stage(edges.unionByName(_edges_of(left, ["p", "i"])), "jaccard-edges")
+    roots = components(edges).select(F.col("node").alias("cid"), "root")
+    left = left.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    apart = left.where("nb > 1").groupBy("p").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("p")
+    left = stage(left.join(apart, "p"), "jaccard-apart")
+    if not left.limit(1).count():
+        return edges
+    # What is not connected yet: each block with each other.
+    blocks = left.select("p", "cid", "n", "s0", "s1", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).where("i <> o")
     blocks = blocks.select("p", F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), "cid", "n", "s0", "s1")
     return edges.unionByName(_edges_of(blocks, ["p", "lo", "hi"]))
 
@@ -403,8 +420,9 @@ def _verify(rows: DataFrame) -> DataFrame:
     return rows.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "cid").mapInArrow(run, _LINKS)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """id and compressed text: half the shuffle."""
+def _pack(texts: DataFrame) -> DataFrame:
+    """The same rows with the text compressed, as `blob`: a third of the shuffle."""
+    others = [f for f in texts.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -413,9 +431,9 @@ def _packed(docs: DataFrame) -> DataFrame:
         for rows, data, offsets in t.slices(batches, "text"):
             raw = data.tobytes()
             blobs = [pack.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(blobs, pa.binary())], ["id", "blob"])
+            yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(f.name)) for f in others], pa.array(blobs, pa.binary())], [*[f.name for f in others], "blob"])
 
-    return _slim(docs).mapInArrow(run, "id long, blob binary")
+    return texts.mapInArrow(run, T.StructType([*others, T.StructField("blob", T.BinaryType())]))
 
 
 def _least_id(column: str):
@@ -427,14 +445,18 @@ def _joined(docs: DataFrame, recall: float) -> DataFrame:
     """id, cid, n, lead, root and n_links of every row; without shingles cid is 0 and the row leads itself."""
     rows = stage(measured(docs, runs_needed(recall)), "jaccard-docs")
     slim = rows.select("id", "cid", "n")
-    classes = rows.where("n > 0").groupBy("cid").agg(_least_id("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("paths").alias("paths"))
+    classes = rows.where("n > 0").groupBy("cid").agg(_least_id("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
     classes = stage(classes, "jaccard-classes")
-    comps = components(stage(candidate_edges(classes), "jaccard-edges"))
+    comps = components(candidate_edges(rows.where("n > 0"), classes))
     members = comps.select(F.col("node").alias("cid"), F.col("root").alias("comp")).join(classes.select("cid", "rep", "copies", "n"), "cid")
     members = stage(members, "jaccard-members")
     blocks = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     placed = members.join(blocks, "comp").withColumn("side", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("nb").cast("long")).cast("int"))
-    texts = placed.join(_packed(docs), placed["rep"] == F.col("id")).drop("id")
+    placed = stage(placed, "jaccard-placed")
+    if placed.count() <= BROADCAST_IDS:
+        texts = _pack(_slim(docs).join(F.broadcast(placed), F.col("id") == F.col("rep")))
+    else:
+        texts = placed.join(_pack(_slim(docs)), placed["rep"] == F.col("id"))
     tasks = texts.select("comp", "cid", "copies", "side", "blob", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     tasks = tasks.select("comp", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "side", "cid", "copies", "blob")
     found = stage(_verify(tasks), "jaccard-links")
