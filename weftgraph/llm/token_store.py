@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -52,12 +53,29 @@ _LOWER[65:91] += 32
 _CLASS = np.zeros(256, np.int8)
 _CLASS[65:91] = _CLASS[97:123] = 1
 _CLASS[list(b".,!?;:*#$%&()")] = 2
+#: Second bytes, after 0xC3, of the letters from U+00C0 to U+00FF (all but the two signs).
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_WORD = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, the others count from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the pieces that are encoded apart, and n + 1 offsets of the documents into them."""
     starts, ends, _ = t.word_spans(data, offsets)
     kind = _CLASS[data]
+    lead = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]])
+    kind[lead] = kind[lead + 1] = 1
     turn = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1 if len(data) else np.zeros(0, np.int64)
     turn = turn[(kind[turn] > 0) & (kind[turn - 1] > 0)]
     turn = turn[~np.isin(turn, offsets)]
@@ -82,9 +100,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        # Words of a-z can skip the normalizer and the pre-tokenizer if those leave them as they are.
-        trial = ["a", "the", "tion", "unbelievable", "zqxjkvw"]
-        self.direct = all([x.id for x in self.tokenizer.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in trial)
+        # Words of Latin letters can skip the normalizer and the pre-tokenizer if all those do is to spell bytes.
+        trial = ["a", "the", "tion", "unbelievable", "zqxjkvw", "élève", "größe", "ñandúÿ"]
+        self.direct = all([x.id for x in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_LETTERS))] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in trial)
         self.reset()
 
     def reset(self) -> None:
@@ -95,9 +113,11 @@ class Encoder:
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, flat, and how many each has."""
-        plain = [self.direct and w.isascii() and w.isalpha() and w.islower() for w in words]
+        model, whole = self.tokenizer.model.tokenize, _WORD.fullmatch
+        low = [w.lower() for w in words]
+        plain = [self.direct and whole(w) is not None for w in low]
         rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
-        got = [[x.id for x in self.tokenizer.model.tokenize(w)] if p else next(rest).ids for w, p in zip(words, plain, strict=True)]
+        got = [[x.id for x in model(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS))] if p else next(rest).ids for w, p in zip(low, plain, strict=True)]
         return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +126,7 @@ class Encoder:
             data = _LOWER[data]
         starts, ends, at = pieces(data, offsets)
         hashes = t.span_hash(t.prefix_hash(data), starts, ends)
-        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, one, which = t.distinct(hashes)
         place = np.searchsorted(self.hashes, distinct)
         known = self.hashes[np.minimum(place, max(0, len(self.hashes) - 1))] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
         new = np.flatnonzero(~known)
@@ -115,14 +135,11 @@ class Encoder:
                 self.reset()
                 new = np.arange(len(distinct))
             raw = data.tobytes()
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                flat, size = self.words([raw[a:b].decode() for a, b in zip(starts[one[part]].tolist(), ends[one[part]].tolist(), strict=True)])
-                begin = len(self.flat) + np.cumsum(size) - size
-                self.flat = np.concatenate([self.flat, flat])
-                self.hashes = np.concatenate([self.hashes, distinct[part]])
-                self.begin = np.concatenate([self.begin, begin])
-                self.size = np.concatenate([self.size, size])
+            flat, size = self.words([raw[a:b].decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.flat = np.concatenate([self.flat, flat])
+            self.hashes = np.concatenate([self.hashes, distinct[new]])
+            self.size = np.concatenate([self.size, size])
             by = np.argsort(self.hashes)
             self.hashes, self.begin, self.size = self.hashes[by], self.begin[by], self.size[by]
             place = np.searchsorted(self.hashes, distinct)
