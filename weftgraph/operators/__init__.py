@@ -1,0 +1 @@
+"""Operators over build graphs and logs."""
