@@ -10,7 +10,8 @@ decided by a seeded hash of the row.
 The graph on the driver has a node per pattern and source, never per document.
 Within a pattern documents are dealt over at most `MAX_BUCKETS` ranges of the
 hash; all ranges before the one in which the amount is reached are taken
-whole, and that one range is filled first-fit in seeded order. So no task
+whole, and that one range is filled in seeded order, its last few documents
+chosen to come nearest to the amount. So no task
 holds more than a range, and a source with a third of all rows is as spread
 out as the rest.
 
@@ -39,6 +40,9 @@ from ._common import stage
 ROWS_PER_BUCKET = 1000
 MAX_BUCKETS = 4096
 SEED = 17
+#: Documents among which the last words of a pattern are chosen, and the shortfall that is near enough.
+WINDOW = 48
+NEAR = 0.002
 
 
 def n_words(text: Column) -> Column:
@@ -132,21 +136,57 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, copies: int = 2) -
     return flow
 
 
-def fill(sizes_: np.ndarray, gap: int) -> np.ndarray:
-    """First fit: in the given order, what still fits into `gap` is taken."""
-    take = np.zeros(len(sizes_), bool)
-    for i, x in enumerate(sizes_.tolist()):
-        if 0 < x <= gap:
-            take[i] = True
-            gap -= x
-    return take
+def _nearest(items: list[int], gap: int) -> list[int]:
+    """Places of the items whose sum comes nearest to `gap`, by the set of all reachable sums (a bit per sum)."""
+    limit = (1 << (gap + max(items, default=0) + 1)) - 1
+    reach = [1]
+    for x in items:
+        reach.append((reach[-1] | reach[-1] << x) & limit)
+    last, off = reach[-1], 0
+    while True:
+        if off <= gap and last >> (gap - off) & 1:
+            total = gap - off
+            break
+        if last >> (gap + off) & 1:
+            total = gap + off
+            break
+        off += 1
+    out = []
+    for k in range(len(items), 0, -1):
+        if not reach[k - 1] >> total & 1:
+            out.append(k - 1)
+            total -= items[k - 1]
+    return out[::-1]
+
+
+def fill(sizes_: np.ndarray, gap: int, most: int = 1) -> np.ndarray:
+    """Copies of documents, in the given order, whose words come nearest to `gap`.
+
+    Documents are taken one after the other until shortly before the gap is
+    full; which of the next `WINDOW` fill it best is searched. If once each
+    doesn't come within NEAR of it, those may be taken up to `most` times.
+    """
+    copies = np.zeros(len(sizes_), np.int64)
+    total = np.cumsum(sizes_)
+    full = int(np.searchsorted(total, gap, "right"))
+    begin = max(0, full - WINDOW // 2)
+    copies[:begin] = 1
+    gap -= int(total[begin - 1]) if begin else 0
+    window = np.arange(begin, min(len(sizes_), full + WINDOW // 2))
+    items = sizes_[window].tolist()
+    chosen = _nearest(items, gap)
+    if most > 1 and abs(sum(items[k] for k in chosen) - gap) > NEAR * gap:
+        chosen = [k % len(items) for k in _nearest(items * most, gap)]
+    for k in chosen:
+        copies[window[k]] += 1
+    return copies
 
 
 class Mix:
     """The plan of a mix: what to take of each pattern, from a staged table of sizes."""
 
     def __init__(self, measured: DataFrame, seed: int = SEED, weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2):
-        self.seed, self.spark = seed, measured.sparkSession
+        self.seed, self.spark, self.most = seed, measured.sparkSession, most
         rows = measured.groupBy("source").agg(F.sum("size"), F.count("*")).collect()  # a row per source
         self.source_size = {r[0]: int(r[1] or 0) for r in rows}
         count = {r[0]: r[2] for r in rows}
@@ -182,13 +222,13 @@ class Mix:
 
     def decide(self, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows with `taken`: those outside and those inside the one range of each pattern that is taken in part."""
-        marked = self.mark(measured)
+        most, marked = self.most, self.mark(measured)
         before = marked.where("bucket <> reached").withColumn("taken", F.col("size") * (F.col("whole") + (F.col("bucket") < F.col("reached")).cast("long")))
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["place", "doc_id", "size"], na_position="first", kind="stable")
-            take = fill(pdf["size"].to_numpy(), int(pdf["gap"].iloc[0]))
-            pdf["taken"] = pdf["size"] * (pdf["whole"] + take)
+            whole = int(pdf["whole"].iloc[0])
+            pdf["taken"] = pdf["size"] * (whole + fill(pdf["size"].to_numpy(), int(pdf["gap"].iloc[0]), most - whole))
             return pdf
 
         edge = marked.where("bucket = reached")
@@ -215,7 +255,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     mix = Mix(measured, **options)
     _, edge = mix.decide(measured)
     edge = stage(edge.select(F.col("doc_id").alias("e_id"), F.col("source").alias("e_source"), F.col("size").alias("e_size"), "taken"), "mix-edge")
-    # Equal rows are told apart by nothing: each gets the mean of what its like get, rounded by how many there are.
+    # Rows of one doc_id, source and size are told apart by nothing: each gets the most that one of them does.
     edge = edge.groupBy("e_id", "e_source", "e_size").agg(F.max("taken").alias("taken"))
     rows = docs.withColumn("weft_row", F.struct(*[F.col(f"`{c}`") for c in names]))
     rows = rows.select("weft_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
