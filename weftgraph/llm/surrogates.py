@@ -47,6 +47,9 @@ _PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{
 _PERSON = rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME})?"
 PATTERN = "|".join([_EMAIL, _HEX, _IBAN, _IP, _CARD, _SSN, _PHONE, _PERSON])
 
+#: Every mention has one of these; texts without any are passed over by this one cheap search.
+HINT = r"[@0-9]|[MDHFSг](?:r|s|err|rau|eñor|onsieur|adame|me|-)|[a-fA-F]{32}"
+
 # Surrogate names, our own choice: fixed values.
 MALE = "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Noah Oscar Paul".split()
 FEMALE = "Anna Berta Clara Diana Emma Flora Greta Helen Ida Julia Karin Laura Maria Nora Olga Paula".split()
@@ -62,6 +65,11 @@ def _sql_list(words: list[str]) -> str:
     return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once: a lambda's argument, where an expression would be repeated."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kind(mention: Column) -> Column:
     """What an extracted mention is."""
     digits = F.length(F.regexp_replace(mention, r"\D", ""))
@@ -79,7 +87,10 @@ def kind(mention: Column) -> Column:
 
 def units(mention: Column) -> Column:
     """The entities of a mention: array of struct(kind, canon); a person has a given name, if there are two, and a surname."""
-    k = kind(mention)
+    return _let(kind(mention), lambda k: _units(mention, k))
+
+
+def _units(mention: Column, k: Column) -> Column:
     digits = F.regexp_replace(mention, r"\D", "")
     canon = (
         F.when(k == "email", F.lower(mention))
@@ -121,14 +132,17 @@ def _chars(text: Column, of) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """Sum of the check; a valid number has one that ends in 0."""
-    n = F.length(digits)
-    each = F.transform(F.split(digits, ""), lambda c, i: F.when(F.pmod(n - 1 - i, F.lit(2)) == 1, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
+    # From the right, every second digit counts double.
+    each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 1, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
 def surrogate(what: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate of a canonical form, in canonical form."""
-    h = _hash(what, canon, attempt, key)
+    return _let(_hash(what, canon, attempt, key), lambda h: _surrogate(what, canon, attempt, key, h))
+
+
+def _surrogate(what: Column, canon: Column, attempt: Column, key: str, h: Column) -> Column:
     letters = F.lit("abcdefghijklmnopqrstuvwxyz")
     digit = lambda i: (_number(h, i) % 10).cast("string")
     any_digits = _chars(canon, lambda c, i: digit(i))
@@ -147,10 +161,12 @@ def surrogate(what: Column, canon: Column, attempt: Column, key: str = KEY) -> C
         ),
         ".",
     )
-    body = F.substr(any_digits, F.lit(1), F.length(canon) - 1)
-    check = lambda last: F.concat(body, last)
-    valid_end = F.pmod(10 - _luhn(check(F.lit("0"))) % 10, F.lit(10))
-    card = check(F.when(_luhn(canon) % 10 == 0, valid_end).otherwise(F.pmod(valid_end + 1 + _number(h, F.lit(31)) % 9, F.lit(10))).cast("string"))
+    def with_check(body: Column) -> Column:
+        end = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10))
+        other = F.pmod(end + 1 + _number(h, F.lit(31)) % 9, F.lit(10))
+        return F.concat(body, F.when(_luhn(canon) % 10 == 0, end).otherwise(other).cast("string"))
+
+    card = _let(F.substr(any_digits, F.lit(1), F.length(canon) - 1), with_check)
     phone = _chars(canon, lambda c, i: F.when((F.length(canon) == 10) & (F.substr(canon, F.lit(4), F.lit(3)) == "555") & i.isin(3, 4, 5), c).otherwise(digit(i)))
     secret = _chars(canon, lambda c, i: F.substr(F.lit("0123456789abcdef"), (_number(h, i) / F.pow(F.lit(16), F.floor(i / 32)) % 16 + 1).cast("int"), F.lit(1)))
     iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), _chars(F.substr(canon, F.lit(3)), lambda c, i: F.when(c.rlike(r"\d"), digit(i)).otherwise(F.upper(F.substr(letters, (_number(h, i) % 26 + 1).cast("int"), F.lit(1))))))
@@ -181,15 +197,20 @@ def surrogate(what: Column, canon: Column, attempt: Column, key: str = KEY) -> C
 def _like(mention: Column, made: Column) -> Column:
     """Fill the digits (or letters and digits) of a mention with those of a surrogate, from the right."""
     marks = r"[^\p{L}\p{N}]"
-    n = F.length(F.regexp_replace(mention, marks, ""))
-    seen = lambda i: F.length(F.regexp_replace(F.substr(mention, F.lit(1), i + 1), marks, ""))
-    at = lambda i: seen(i) - n + F.length(made)
-    return _chars(mention, lambda c, i: F.when(c.rlike(marks) | (at(i) < 1), c).otherwise(F.substr(made, at(i).cast("int"), F.lit(1))))
+    chars = F.split(mention, "")
+    # How many of the characters up to each one are filled.
+    seen = F.transform(F.sequence(F.lit(1), F.length(mention)), lambda i: F.length(F.regexp_replace(F.substr(mention, F.lit(1), i), marks, "")))
+    shift = F.length(made) - F.length(F.regexp_replace(mention, marks, ""))
+    pairs = F.arrays_zip(chars.alias("c"), seen.alias("n"))
+    return _let(shift, lambda by: F.array_join(F.transform(pairs, lambda p: F.when(p["c"].rlike(marks) | (p["n"] + by < 1), p["c"]).otherwise(F.substr(made, p["n"] + by, F.lit(1)))), ""))
 
 
 def render(mention: Column, made: Column) -> Column:
     """The surrogates `made` of a mention's entities, written as the mention is."""
-    k = kind(mention)
+    return _let(kind(mention), lambda k: _render(mention, made, k))
+
+
+def _render(mention: Column, made: Column, k: Column) -> Column:
     one = F.element_at(made, 1)
     upper = (F.upper(mention) == mention) & (F.lower(mention) != mention)
     cased = F.when(upper, F.upper(one)).otherwise(one)
@@ -201,7 +222,8 @@ def render(mention: Column, made: Column) -> Column:
 
 def _mentions(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")).alias("mentions"))
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(found, F.array().cast("array<string>")).alias("mentions"))
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -258,11 +280,11 @@ def anonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
             units(m),
             lambda u: surrogate(u["kind"], u["canon"], F.coalesce(F.try_element_at(F.col("odd"), F.concat_ws("|", u["kind"], u["canon"])), F.lit(0)), key),
         )
-        return render(m, made)
+        return _let(made, lambda x: render(m, x))
 
     made = F.transform("mentions", write)
     pieces = F.split("text", PATTERN, -1)
     joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(F.when(i > 0, F.get("made", i - 1)).otherwise(""), p)), "")
-    some = rows.where(F.size("mentions") > 0).withColumn("made", made).select("doc_id", joined.alias("text"), F.size("mentions").cast("long").alias("n_entities"))
-    none = rows.where(F.size("mentions") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
-    return some.unionByName(none)
+    # One pass: what has no mention is handed on as it is.
+    rows = rows.withColumn("made", made)
+    return rows.select("doc_id", F.when(F.size("mentions") > 0, joined).otherwise(F.col("text")).alias("text"), F.size("mentions").cast("long").alias("n_entities"))
