@@ -78,7 +78,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     kind[lead] = kind[lead + 1] = 1
     turn = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1 if len(data) else np.zeros(0, np.int64)
     turn = turn[(kind[turn] > 0) & (kind[turn - 1] > 0)]
-    turn = turn[~np.isin(turn, offsets)]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    turn = turn[~edge[turn]]
     starts, ends = np.concatenate([starts, turn]), np.concatenate([ends, turn])
     starts.sort()
     ends.sort()
@@ -161,7 +163,8 @@ class Encoder:
 def cut(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Ends of the chunks of a flat id stream; every document end is one."""
     n = len(ids)
-    value = t.mix(ids.astype(np.uint64) + np.uint64(1))
+    top = int(ids.max()) + 1 if n else 0
+    value = t.mix(np.arange(1, top + 1, dtype=np.uint64))[ids]  # one number per id of the vocabulary
     rolled = np.zeros(n + 1, np.uint64)
     np.cumsum(value * t.powers(_ROLL, n), out=rolled[1:])
     is_end = np.zeros(n + 1, bool)
@@ -169,9 +172,10 @@ def cut(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if n >= WINDOW:
         i = np.arange(WINDOW, n + 1)
         inverse = t.powers(pow(_ROLL, -1, 2**64), n)
-        h = t.mix((rolled[i] - rolled[i - WINDOW]) * inverse[i - WINDOW])
-        doc_start = np.repeat(bounds[:-1], np.diff(bounds))[i - 1]
-        is_end[i[((h & np.uint64(MEAN - 1)) == 0) & (i - WINDOW >= doc_start)]] = True
+        h = (rolled[WINDOW:] - rolled[:-WINDOW]) * inverse[: n + 1 - WINDOW] * np.uint64(_ROLL)
+        hit = i[(h >> np.uint64(64 - MEAN.bit_length() + 1)) == 0]
+        doc_start = bounds[np.searchsorted(bounds, hit - 1, "right") - 1]
+        is_end[hit[hit - WINDOW >= doc_start]] = True
     ends = np.flatnonzero(is_end)
     ends = ends[ends > 0]
     size = np.diff(np.concatenate([[0], ends]))
