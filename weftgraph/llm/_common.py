@@ -2,58 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .._session import drop_path, shared_dir, ship, stage, stage_counted, workspace
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is missing a local master gets a temporary folder; on a
-    cluster that would lose data with its machine, so it is an error there.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = sc._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = workspace(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a workspace path that nothing will read again."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["drop_path", "least_hashed", "prefix_sums", "shared_dir", "ship", "stage", "stage_counted", "table", "workspace"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def least_hashed(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The `most` rows with the least hash of `keys`, or all if there are no more; for samples of a stated size.
+
+    Rows far beyond the expected cut are left out first, so that what the
+    partitions send on is about twice the sample, however many they are.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    h = F.xxhash64(*keys)
+    cut = int(min(1.0, 2 * most / n + 1e-6) * 2**64) - 2**63
+    near = df.where(h <= F.lit(min(cut, 2**63 - 1)))
+    # Many equal rows share a hash: then too few may lie below the cut.
+    return (near if near.count() >= most else df).orderBy(h, *keys).limit(most)
 
 
 def prefix_sums(df: DataFrame, order: list[str], value: str, out: str, rows_per_bucket: int = 50_000) -> DataFrame:
@@ -89,8 +64,6 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, out: str, rows_per_
     for b in sorted(totals):
         offsets.append((b, seen))
         seen += totals[b]
-    from pyspark.sql import Window
-
     before = Window.partitionBy("weft_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     offs = spark.createDataFrame(offsets or [(0, 0)], "weft_bucket int, weft_offset long")
     return (

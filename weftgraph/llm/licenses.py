@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
+from ._common import least_hashed
 
 #: Bits of the filter that passes over n-grams without a weight.
 BITS = 16
@@ -219,7 +220,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
     lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).where("length(trim(line)) > 0")
     lines = lines.where(~F.lower("line").rlike(r"licen[sc]|copyright|public domain|all rights reserved"))
     line = F.substr("line", F.lit(1), F.lit(2000))  # of training lines only
-    few = [r[0] for r in lines.select(line.alias("line"), F.xxhash64("line").alias("h")).orderBy("h", "line").limit(sample).collect()]
+    few = [r[0] for r in least_hashed(lines.select(line.alias("line")), ["line"], sample).orderBy("line").collect()]
     made, classes = variants(np.random.default_rng(seed))
     return fit(made + few, classes + [len(FAMILIES)] * len(few), seed)
 

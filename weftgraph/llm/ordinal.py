@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
+from ._common import least_hashed
 
 BITS = 18
 SAMPLE = 4000
@@ -156,7 +157,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, x_dense: np.ndarray, grade: np.ndarr
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` rows of `ratings` (doc_id, grade)."""
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).where("doc_id is not null and grade is not null")
-    few = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
+    few = least_hashed(rated, ["doc_id", "grade"], sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")  # `sample` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
