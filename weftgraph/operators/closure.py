@@ -24,7 +24,7 @@ def closure(seeds: DataFrame, links: DataFrame, keys: list[str] | None = None, m
     With `keys` every root has a closure of its own. The result has each row once.
     """
     keys = keys or []
-    links = stage(links.select("src", "dst").distinct(), "links")
+    links = stage(links.select("src", "dst"), "links")  # a link that is there twice finds a node twice, which is dropped below
     frontier, n = stage_counted(seeds.select(*keys, "node").distinct(), "reach")
     parts = [frontier]
     for _ in range(max_rounds):

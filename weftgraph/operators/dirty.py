@@ -147,10 +147,13 @@ def scan(g: BuildGraph) -> Scan:
     absent = leaves.join(g.files.where("mtime > 0").select("path"), "path", "left_anti")
     by_leaf = real.join(absent, "path").select("edge_id")
     seeds = here.select(F.col("edge_id").alias("node")).unionByName(by_leaf.select(F.col("edge_id").alias("node")))
-    dirty = stage(closure(seeds, g.links(["explicit", "implicit"])), "dirty")
+    # One table of links for both ways of spreading.
+    makes, uses = g.edge_outputs.select("path", F.col("edge_id").alias("src")), g.edge_inputs.select("path", F.col("edge_id").alias("dst"), (F.col("kind") != "order_only").alias("real"))
+    links = stage(makes.join(uses, "path").groupBy("src", "dst").agg(F.bool_or("real").alias("real")), "links")
+    dirty = stage(closure(seeds, links.where("real")), "dirty")
     counts = g.edge_inputs.groupBy("edge_id").agg(F.count("*").alias("n_inputs"))
     idle = g.edges.where("is_phony").join(counts, "edge_id", "left_anti").select(F.col("edge_id").alias("node"))
-    late = stage(closure(dirty.join(idle, "node", "left_anti"), g.links()), "late")
+    late = stage(closure(dirty.join(idle, "node", "left_anti"), links), "late")
     edges = (
         g.edges.select("edge_id").join(dirty.select(F.col("node").alias("edge_id"), F.lit(True).alias("dirty")), "edge_id", "left")
         .join(late.select(F.col("node").alias("edge_id"), F.lit(False).alias("ready")), "edge_id", "left").join(here, "edge_id", "left")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .._session import stage
 from ..sources.dyndep import DYNDEPS
 from ..sources.files import FILES
 from ..sources.logs import BUILD_LOG, DEPS_LOG
@@ -70,11 +72,11 @@ class BuildGraph:
         return replace(self, **changes)
 
     def staged(self) -> BuildGraph:
-        """The same graph with its large relations written out, for operators that read them many times."""
-        from .._session import stage
-
-        names = ("edges", "edge_inputs", "edge_outputs", "files", "build_log", "deps_log", "depfiles")
-        return self.with_(**{n: stage(getattr(self, n), f"graph-{n.replace('_', '-')}") for n in names if getattr(self, n) is not None})
+        """The same graph with its large relations written out, side by side, for operators that read them many times."""
+        names = [n for n in ("edges", "edge_inputs", "edge_outputs", "files", "build_log", "deps_log", "depfiles") if getattr(self, n) is not None]
+        with ThreadPoolExecutor(len(names)) as pool:
+            done = pool.map(lambda n: stage(getattr(self, n), f"graph-{n.replace('_', '-')}"), names)
+            return self.with_(**dict(zip(names, done, strict=True)))
 
     def paths(self) -> DataFrame:
         """Every path that a statement names, once."""
