@@ -119,9 +119,37 @@ FROM f LEFT JOIN r USING (page_id) LEFT JOIN listed ON f.canon = listed.canon
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[p : p + 9], ' ') AS x FROM i, generate_series(1, greatest(1, len(w) - 9)) t(p) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT m FROM win),
+own AS (SELECT k, p, m, array_to_string(w[p : p + m - 1], ' ') AS x FROM d, sizes, generate_series(1, len(w) - m + 1) t(p)),
+hit AS (SELECT DISTINCT k, p, own.m, item FROM own JOIN win ON own.m = win.m AND own.x = win.x),
+n AS (SELECT k, count(DISTINCT q) AS n_hit FROM hit, generate_series(p, p + m - 1) t(q) GROUP BY k),
+items AS (SELECT k, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT k, item FROM hit) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (k) LEFT JOIN items USING (k)
+"""
+
+JACCARD_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT k, md5_number(array_to_string(w[p : p + 4], ' ')) AS h FROM d, generate_series(1, greatest(1, len(w) - 4)) t(p) WHERE len(w) > 0),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+common AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.k <> b.k GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 9 * c >= 4 * (x.n + y.n)),
+reach AS (SELECT k, k AS m FROM d UNION SELECT reach.k, b FROM reach JOIN link ON a = m),
+lead AS (SELECT reach.k, min(doc_id) AS class_id FROM reach JOIN d ON d.k = m GROUP BY reach.k)
+SELECT doc_id, class_id, (SELECT count(*) FROM link WHERE a = d.k) AS n_links, coalesce(n, 0)::BIGINT AS n_shingles FROM d JOIN lead USING (k) LEFT JOIN n USING (k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_store, op2_ordinal_quality, op3_repetition, op4_surrogates, op5_repeats, op6_licenses, op7_decontaminate, op8_mixing, op9_jaccard_join, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, Any]:
-    return {"op10_url_filter": _url_sql()}
+    return {"op7_decontaminate": DECONTAMINATE_SQL, "op9_jaccard_join": JACCARD_SQL, "op10_url_filter": _url_sql()}
