@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as t
-from ._common import stage
+from ._common import stage, stage_counted
 from ._graph import components
 
 SHINGLE = 5
@@ -281,8 +281,8 @@ def _merged_key(whole: pa.Table, n_keys: int) -> pa.Table:
     return pa.table([pa.array(np.cumsum(change)), *whole.columns[n_keys:]], names=names)
 
 
-def candidate_edges(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of cids whose components hold all similar pairs that met.
+def candidate_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, root): components of cids that hold all similar pairs that met.
 
     rows: cid, p, more; classes: cid, n, s0, s1; both staged. Only paths and
     numbers of sets are shuffled until it is known who shares a path.
@@ -300,27 +300,27 @@ def candidate_edges(rows: DataFrame, classes: DataFrame) -> DataFrame:
         large = counts.where(F.col("c") > SMALL)
         n_large = large.count()
         if not n_large:
-            return edges
+            return components(edges)
         if level == 2:
             split = F.broadcast(large) if n_large <= BROADCAST_IDS else large
             zipped = rows.select("cid", F.explode(F.arrays_zip("p", "more")).alias("x")).select("cid", F.col("x.p").alias("p"), F.col("x.more").alias("more"))
-            pairs = zipped.join(split.select("p"), "p").select("cid", F.explode("more").alias("p"))
+            pairs = stage(zipped.join(split.select("p"), "p").select("cid", F.explode("more").alias("p")), "jaccard-third")
     # Still large after three tokens. First the bucket's blocks, each for itself:
     # pairs that this and the other buckets connect need no further look, as all
     # pairs of a component are decided later.
     left = shared.join(large, "p").join(about, "cid")
     left = stage(left.withColumn("nb", F.ceil(F.col("c") / BLOCK_ROWS).cast("int")).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("nb").cast("long")).cast("int")), "jaccard-left")
     edges = stage(edges.unionByName(_edges_of(left, ["p", "i"])), "jaccard-edges")
-    roots = components(edges).select(F.col("node").alias("cid"), "root")
-    left = left.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    apart = left.where("nb > 1").groupBy("p").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("p")
-    left = stage(left.join(apart, "p"), "jaccard-apart")
-    if not left.limit(1).count():
-        return edges
+    comps = components(edges)
+    left = left.where("nb > 1").join(comps.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    apart = left.groupBy("p").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("p")
+    left, n_left = stage_counted(left.join(apart, "p"), "jaccard-apart")
+    if not n_left:
+        return comps
     # What is not connected yet: each block with each other.
     blocks = left.select("p", "cid", "n", "s0", "s1", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).where("i <> o")
     blocks = blocks.select("p", F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), "cid", "n", "s0", "s1")
-    return edges.unionByName(_edges_of(blocks, ["p", "lo", "hi"]))
+    return components(edges.unionByName(_edges_of(blocks, ["p", "lo", "hi"])))
 
 
 def _exact(h: list[np.ndarray], side: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -363,21 +363,21 @@ def _exact(h: list[np.ndarray], side: np.ndarray, same: bool) -> tuple[np.ndarra
     return i, j
 
 
-_LINKS = "cid long, links long, root long"
+_LINKS = "cid long, links long, root long, whole boolean"
 
 
 def _verify(rows: DataFrame) -> DataFrame:
-    """Links and local roots, by rows (comp, lo, hi, side, cid, copies, blob) with the sets' texts."""
+    """Links and local roots, by rows (comp, lo, hi, side, cid, copies, nb, blob) with the sets' texts; whole: of a component in one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         open_ = zstandard.ZstdDecompressor()
         for whole in _groups(batches, 3):
-            comp, lo, hi, side, cid, copies = (whole.column(k).to_numpy() for k in range(6))
+            comp, lo, hi, side, cid, copies, nb = (whole.column(k).to_numpy() for k in range(7))
             change = np.concatenate([[True], (comp[1:] != comp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
             begin = np.append(np.flatnonzero(change), len(comp))
-            blobs = whole.column(6)
+            blobs = whole.column(7)
             for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                 texts = [open_.decompress(x) for x in blobs.slice(a, b - a).to_pylist()]
                 lengths = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
@@ -415,7 +415,7 @@ def _verify(rows: DataFrame) -> DataFrame:
                         break
                     label = new
                 hit = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(links[hit].astype(np.int64)), pa.array(c[label[hit]])], ["cid", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(links[hit].astype(np.int64)), pa.array(c[label[hit]]), pa.array(np.full(len(hit), nb[a] == 1))], ["cid", "links", "root", "whole"])
 
     return rows.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "cid").mapInArrow(run, _LINKS)
 
@@ -447,22 +447,24 @@ def _joined(docs: DataFrame, recall: float) -> DataFrame:
     slim = rows.select("id", "cid", "n")
     classes = rows.where("n > 0").groupBy("cid").agg(_least_id("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
     classes = stage(classes, "jaccard-classes")
-    comps = components(candidate_edges(rows.where("n > 0"), classes))
+    comps = candidate_components(rows.where("n > 0"), classes)
     members = comps.select(F.col("node").alias("cid"), F.col("root").alias("comp")).join(classes.select("cid", "rep", "copies", "n"), "cid")
     members = stage(members, "jaccard-members")
     blocks = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     placed = members.join(blocks, "comp").withColumn("side", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("nb").cast("long")).cast("int"))
-    placed = stage(placed, "jaccard-placed")
-    if placed.count() <= BROADCAST_IDS:
+    placed, n_placed = stage_counted(placed, "jaccard-placed")
+    if n_placed <= BROADCAST_IDS:
         texts = _pack(_slim(docs).join(F.broadcast(placed), F.col("id") == F.col("rep")))
     else:
         texts = placed.join(_pack(_slim(docs)), placed["rep"] == F.col("id"))
-    tasks = texts.select("comp", "cid", "copies", "side", "blob", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    tasks = tasks.select("comp", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "side", "cid", "copies", "blob")
+    tasks = texts.select("comp", "cid", "copies", "side", "nb", "blob", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    tasks = tasks.select("comp", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "side", "cid", "copies", "nb", "blob")
     found = stage(_verify(tasks), "jaccard-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    info = classes.select("cid", "rep", "copies").join(links, "cid", "left").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    # A component in one block has its roots already; between blocks they are joined.
+    roots = components(found.where("not whole").select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "root")
+    roots = roots.unionByName(found.where("whole").select("cid", "root"))
+    info = classes.select("cid", "rep", "copies").join(links, "cid", "left").join(roots, "cid", "left")
     info = info.select("cid", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
     lead = info.groupBy("root").agg(_least_id("rep").alias("lead"))
     info = info.join(lead, "root").select("cid", "lead", "root", "n_links")
