@@ -208,7 +208,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         encoder = Encoder(tokenizer)
         kind = np.dtype(f"<u{encoder.width}")
         given: set[bytes] = set()
-        for rows, data, offsets in t.slices(batches, "text", 4 << 20):
+        for rows, data, offsets in t.slices(batches, "text", 5 << 19):
             ids, bounds = encoder(data, offsets)
             ends = cut(ids, bounds)
             raw = ids.astype(kind).tobytes()
