@@ -206,6 +206,25 @@ def test_repetition(spark, odd, empty):
     assert repetition.repetition(empty).count() == repetition.keep(empty).count() == 0
 
 
+def test_repetition_rejects_beyond_the_base_rule(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    ten, more = words(10), words(22)
+    texts = [
+        words(45) + " " + ten + " " + words(45) + " " + ten,  # 20 of 110 words covered
+        words(230) + " " + more + " " + words(230) + " " + more,  # 44 of 504 covered, one repeat of 22
+        words(120),
+        words(250) + " " + ten + " " + words(250) + " " + ten,  # 20 of 520 covered
+        words(9),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in repetition.repetition(docs).collect()}
+    assert [got[k].base_failed for k in range(5)] == [False, False, False, False, True]
+    assert [got[k].kept for k in range(5)] == [False, False, True, True, False]
+    assert got[1].n_covered_words <= repetition.MAX_COVERED * got[1].n_words
+    assert {r.doc_id for r in repetition.keep(docs).collect()} == {2, 3}
+
+
 # 4: surrogates.
 
 PII = [

@@ -5,7 +5,9 @@ longest-common-prefix lengths) gives its common-prefix intervals; the suffixes
 of an interval of at least `min_repeat` words are occurrences of a maximal
 repeated substring. The union of their spans is the covered fraction, the
 largest prefix the longest repeat. A document passes if both stay within
-their limits.
+their limits. Every covered word also lies in a repeated window of five words,
+of which the base rule allows 20%: limits of that much or more would reject
+nothing that the base rule does not, so they lie well below it.
 
 Documents are independent, so there is no shuffle: each task looks at about
 2 MB of whole texts at once, with one suffix array in which words of different
@@ -31,9 +33,10 @@ from . import _text as t
 
 SYMBOLS = b"#*$%&|<>"
 #: Repeats count from this many words; more than this part of a text in them, or one repeat of more than this part of it, is too much.
+#: A repeat lies in its text twice, so that the second limit is less than half the first.
 MIN_REPEAT = 10
-MAX_COVERED = 0.3
-MAX_LONGEST = 0.25
+MAX_COVERED = 0.1
+MAX_LONGEST = 0.04
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
