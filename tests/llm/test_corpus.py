@@ -272,6 +272,39 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert {r.doc_id: r.text for r in surrogates.anonymize(docs).collect()} == plain
 
 
+WHOLE_MENTIONS = {
+    "met Mr. O'Brien, Mr. O’Brien and Mr. O'Brien's dog": "met Mr. (S), Mr. (S) and Mr. (S)'s dog",
+    "by Dr. J. Smith and Dr. Smith": "by Dr. \\w\\. (S) and Dr. (S)",
+    "saw Mr. McDonald here, Mr. MCDONALD there": None,
+    "and Mrs. Smith-Jones": "and Mrs. (S)",
+    "for Mr. John Paul Smith, Mrs. Smith": "for Mr. \\S+ \\S+ (S), Mrs. (S)",
+    "von Herr von Berg": "von Herr (S)",
+    "г-жа Иванова И. И. и г-н Иванов": "г-жа (S)а \\w\\. \\w\\. и г-н (S)",
+    "Mr. T. came, Mr. J. R. Smith Jr. went": None,
+    "tel +14155552671 or 4155552671 or 415-555-2671": "tel \\+1(\\d{10}) or (\\d{10}) or (\\d{3}-\\d{3}-\\d{4})",
+    "tel +44 20 7946 0958 or +44 (0)20 7946 0958": "tel \\+44 (\\d\\d \\d{4} \\d{4}) or \\+44 \\(0\\)(\\d\\d \\d{4} \\d{4})",
+    "tel +49 30 901820 or +8613812345678": "tel \\+49 \\d\\d \\d{6} or \\+86\\d{11}",
+    "tel (415)5552671 or 415 5552671": "tel \\((\\d{3}\\)\\d{7}) or (\\d{3} \\d{7})",
+    "card 3782 822463 10005 or 3782-822463-10005 or 378282246310005": "card (\\d{4} \\d{6} \\d{5}) or (\\d{4}-\\d{6}-\\d{5}) or (\\d{15})",
+    "card 3056 930902 5904, 6212 3456 7890 1234 589": "card \\d{4} \\d{6} \\d{4}, \\d{4} \\d{4} \\d{4} \\d{4} \\d{3}",
+}
+
+
+def test_surrogates_leave_nothing_of_a_mention(spark):
+    docs = spark.createDataFrame(list(enumerate(WHOLE_MENTIONS)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.anonymize(docs).collect()}
+    for k, (text, form) in enumerate(WHOLE_MENTIONS.items()):
+        for gone in re.findall(r"O.Brien|J\.|R\.|T\.|Smith|Jones|Mc|Donald|(?i:mcdonald)|John|Paul|Berg|Иванов|И\.|415|2671|7946|0958|9018|1381|5678|3782|822|1000|3056|9309|5904|6212|3456|7890|589", text):
+            assert gone not in got[k], (text, got[k])
+        if form:
+            found = re.fullmatch(form.replace("(S)", "([A-Z][a-z]+|[А-Я][а-я]+?)"), got[k])
+            assert found, (text, got[k])
+            assert len({re.sub(r"\D", "", x) or x for x in found.groups()}) <= 1, (text, got[k])  # one entity, one surrogate
+    plain = ["in 1700000000 s, 0.4155552671 of 12 345 678", "Mr. and Mrs. of the house", "Dr. who, +1 for it"]
+    same = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in surrogates.anonymize(same).collect()} == dict(enumerate(plain))
+
+
 # 5: repeats.
 
 

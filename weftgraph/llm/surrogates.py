@@ -2,7 +2,10 @@
 
 All on the JVM: DataFrame functions only. One pattern finds e-mail addresses,
 phone, card, account and social-security numbers, IP addresses, secrets (long
-hex strings) and people named with a title. An entity's canonical form (digits
+hex strings) and people named with a title. Phone numbers are those in groups
+of 3-3-4 digits, North American ones run together, and all that begin with +
+and a country's code; national numbers of other groupings are not told from
+other numbers. A name is all capitalised words and initials after the title. An entity's canonical form (digits
 of a number, lower-cased address, a name's part) and a key give its surrogate
 by SHA-256, so the same entity is the same surrogate in all documents
 and spellings; the surrogate is written in the form of each mention: its
@@ -35,16 +38,26 @@ MAX_ATTEMPTS = 64
 _MALE_TITLES = r"Mr\.?|Herr|Señor|Sr\.|Monsieur|г-н"
 _FEMALE_TITLES = r"Mrs\.?|Ms\.?|Frau|Señora|Sra\.|Madame|Mme\.?|г-жа"
 _TITLE = rf"(?:{_FEMALE_TITLES}|{_MALE_TITLES}|Dr\.)"
-_NAME = r"\p{Lu}\p{Ll}+"
+# Names: words with inner capitals, apostrophes (but not 's) and hyphens; initials; particles. A name goes on as long as its parts do.
+_PARTICLE = r"(?:von|van|vom|zu|der|den|ter|ten|de|del|della|di|da|dos|du|la|le|bin|ibn)"
+_DOTTED = r"\p{Lu}\p{Ll}?\.(?:-?\p{Lu}\.)*"
+_INITIAL = rf"(?:{_DOTTED}|\p{{Lu}}(?![\p{{L}}\p{{M}}'’\-]))"
+_JOINT = r"(?:\-|['’](?!(?:s|d|ll|ve|re)(?!\p{L})))"
+_WORD = rf"(?!(?:Jr|Sr|II|III|IV)(?!\p{{L}}))(?:\p{{Ll}}{{1,3}}['’\-])?\p{{Lu}}(?:[\p{{L}}\p{{M}}]+|(?={_JOINT}\p{{L}}))(?:{_JOINT}\p{{L}}[\p{{L}}\p{{M}}]*)*"
+_PART = rf"(?:(?:{_PARTICLE}|{_INITIAL}) )*{_WORD}"
+_NAME = rf"(?:{_PART}(?: {_PART})*(?: {_DOTTED})*|{_INITIAL}(?: {_DOTTED})*)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)"
 _EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]*[\p{L}\p{N}])+"
 _HEX = r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 _IP = rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\p{{N}})(?!\.\p{{N}})"
-_CARD = r"(?<!\p{N})(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?!\p{N})"
+_CARD = r"(?<!\p{N})(?:\d{13,19}|\d{4}(?:[ .\-]\d{4}){3}(?:[ .\-]\d{3})?|\d{4}[ .\-]\d{6}[ .\-]\d{4,5}|\d{4}[ .\-]\d{4}[ .\-]\d{5}|\d{6}[ .\-]\d{13})(?!\p{N})"
 _SSN = r"(?<![\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{N}\-])"
-_PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\p{N})"
-_PERSON = rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME})?"
+_GROUPED = r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}"
+# In groups of 3-3-4, with the last two or all run together, or after a country's code in any groups.
+_PHONE = rf"(?<![\p{{L}}\p{{N}}+])(?:{_GROUPED}|\+(?:[ .\-/]?\(?\d\)?){{7,15}}|(?:\(\d{{3}}\)[ .\-]?|\d{{3}}[ .\-])\d{{7}}|(?<![_.,])1?[2-9]\d{{2}}[2-9]\d{{6}}(?![.,]?\p{{N}}))(?!\p{{N}})"
+_COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+_PERSON = rf"(?<!\p{{L}}){_TITLE} {_NAME}"
 PATTERN = "|".join([_EMAIL, _HEX, _IBAN, _IP, _CARD, _SSN, _PHONE, _PERSON])
 
 #: Every mention has one of these; texts without any are passed over by this one cheap search.
@@ -97,17 +110,42 @@ def _units(mention: Column, k: Column) -> Column:
         .when(k == "secret", F.lower(mention))
         .when(k == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(k == "ip", mention)
-        .when(k == "phone", F.substr(digits, F.greatest(F.length(digits) - 9, F.lit(1))))
+        .when((k == "phone") & (mention.rlike(f"^{_GROUPED}$") | ~mention.startswith("+")), F.substr(digits, F.greatest(F.length(digits) - 9, F.lit(1))))
+        .when(k == "phone", F.regexp_replace(F.regexp_replace(F.regexp_replace(mention, r"\(0\)", ""), r"\D", ""), _COUNTRY, ""))
         .otherwise(digits)
     )
     one = F.array(F.struct(k.alias("kind"), canon.alias("canon")))
-    names = F.split(F.regexp_replace(mention, rf"^{_TITLE} ", ""), " ")
+    people = F.transform(_names(mention), lambda x: F.struct(x["kind"].alias("kind"), _canon_name(x["kind"], x["raw"], mention).alias("canon")))
+    return F.when(k == "person", people).otherwise(one)
+
+
+def _names(mention: Column) -> Column:
+    """The parts of a person's name as written: array of struct(kind, raw); particles belong to the surname."""
     sex = F.when(mention.rlike(rf"^(?:{_FEMALE_TITLES}) "), "female").when(mention.rlike(rf"^(?:{_MALE_TITLES}) "), "male").otherwise("either")
-    last = F.element_at(names, -1)
-    female_form = F.when(last.rlike(r"\p{IsCyrillic}") & (sex == "female"), F.regexp_replace(last, "а$", "")).otherwise(last)  # one family, two endings
-    surname = F.struct(F.lit("surname").alias("kind"), female_form.alias("canon"))
-    given = F.struct(F.concat(F.lit("given_"), sex).alias("kind"), F.element_at(names, 1).alias("canon"))
-    return F.when(k == "person", F.when(F.size(names) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(one)
+    given = lambda text: F.transform(
+        F.filter(F.split(text, " "), lambda x: (x != "") & ~x.rlike(f"^{_PARTICLE}$")), lambda x: F.struct(F.concat(F.lit("given_"), sex).alias("kind"), x.alias("raw"))
+    )
+
+    def parts(name: Column) -> Column:
+        tail = F.regexp_extract(name, rf"((?: {_DOTTED})*)$", 1)
+        core = F.substr(name, F.lit(1), F.length(name) - F.length(tail))
+        surname = F.regexp_extract(core, rf"(?:^| )((?:{_PARTICLE} )*{_WORD})$", 1)
+        before = F.substr(core, F.lit(1), F.length(core) - F.length(surname))
+        last = F.filter(F.array(F.struct(F.lit("surname").alias("kind"), surname.alias("raw"))), lambda x: x["raw"] != "")
+        return F.concat(given(before), last, given(tail))
+
+    return _let(F.regexp_replace(mention, rf"^{_TITLE} ", ""), parts)
+
+
+def _canon_name(kind_: Column, raw: Column, mention: Column) -> Column:
+    plain = F.replace(raw, F.lit("’"), F.lit("'"))
+    cased = F.when((F.length(plain) > 2) & (F.upper(plain) == plain) & ~plain.contains("."), F.initcap(plain)).otherwise(plain)
+    # One family, two endings.
+    return F.when((kind_ == "surname") & _is_female_form(raw, mention), F.regexp_replace(cased, "а$", "")).otherwise(cased)
+
+
+def _is_female_form(raw: Column, mention: Column) -> Column:
+    return mention.rlike(rf"^(?:{_FEMALE_TITLES}) ") & raw.rlike(r"\p{IsCyrillic}$") & raw.endswith("а")
 
 
 def _hash(what: Column, canon: Column, attempt: Column, key: str) -> Column:
@@ -215,8 +253,15 @@ def _render(mention: Column, made: Column, k: Column) -> Column:
     upper = (F.upper(mention) == mention) & (F.lower(mention) != mention)
     cased = F.when(upper, F.upper(one)).otherwise(one)
     title = F.regexp_extract(mention, rf"^({_TITLE} )", 1)
-    female = mention.rlike(rf"^(?:{_FEMALE_TITLES}) ") & mention.rlike(r"\p{IsCyrillic}$") & mention.rlike("а$")
-    person = F.concat(title, F.array_join(made, " "), F.when(female, "а").otherwise(""))
+
+    def part(x: Column, made_: Column) -> Column:
+        letter = F.when(F.substr(made_, F.lit(1), F.lit(1)) == F.substr(x["raw"], F.lit(1), F.lit(1)), F.upper(F.substr(made_, F.lit(2), F.lit(1)))).otherwise(F.substr(made_, F.lit(1), F.lit(1)))
+        shout = (F.length(x["raw"]) > 2) & (F.upper(x["raw"]) == x["raw"])
+        name = F.concat(made_, F.when((x["kind"] == "surname") & _is_female_form(x["raw"], mention), "а").otherwise(""))
+        initial = F.concat(letter, F.when(x["raw"].endswith("."), ".").otherwise(""))
+        return F.when((x["kind"] != "surname") & x["raw"].rlike(f"^{_INITIAL}$"), initial).when(shout, F.upper(name)).otherwise(name)
+
+    person = F.concat(title, F.array_join(F.zip_with(_names(mention), made, part), " "))
     return F.when(k == "person", person).when(k.isin("email", "secret"), cased).when(k == "ip", one).otherwise(_like(mention, one))
 
 
