@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, wherever they run; once per session."""
     sc = spark.sparkContext
@@ -25,6 +28,9 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("weftgraph", os.path.relpath(full, here)))
     sc.addPyFile(path)
+    # Texts are long: what goes to a Python worker at once is bounded by bytes, not only by rows.
+    if spark.conf.get(_ARROW_BYTES, None) in (None, "", "-1", str(2**63 - 1), "67108864", "64MB", "64m"):
+        spark.conf.set(_ARROW_BYTES, str(8 << 20))
     sc._weftgraph_shipped = True
 
 
