@@ -206,6 +206,38 @@ def test_repetition(spark, odd, empty):
     assert repetition.repetition(empty).count() == repetition.keep(empty).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    x, y = a, b
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_spans_with_equal_polynomial_hashes_stay_apart(spark):
+    x, y = thue_morse(1024)
+    data = np.frombuffer((x + y).encode(), np.uint8)
+    starts = np.array([0, 1024])
+    assert len(set(t.rolling_hash(t.prefix_hash(data), starts, starts + 1024).tolist())) == 1
+    one, which = t.span_numbers(data, starts, starts + 1024)
+    assert len(one) == 2 and which[0] != which[1]
+    rows = {r.doc_id: r for r in repetition.repetition(spark.createDataFrame([(1, f"{x}\n{y}"), (2, f"{x}\n{x}")], "doc_id long, text string")).collect()}
+    assert (rows[1].n_dup_lines, rows[2].n_dup_lines) == (0, 1)
+
+
+def test_span_numbers_with_colliding_hashes(monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 3, 7, 8, 9, 17, 64, 200]))) for _ in range(300)]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - np.array([len(w) for w in words])
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(t, "span_hash", lambda d, a, b: (b - a).astype(np.uint64) & np.uint64(3))
+        one, which = t.span_numbers(data, starts, ends)
+        assert len(one) == len(set(words))
+        assert all(words[one[k]] == w for k, w in zip(which.tolist(), words, strict=True))
+
+
 def test_repetition_rejects_beyond_the_base_rule(spark):
     rng = random.Random(8)
     words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
@@ -360,7 +392,7 @@ def test_repeat_groups(spark):
 
 def test_interval_tree():
     # banana: suffixes a, ana, anana, banana, na, nana
-    got = set(repeats.interval_tree(np.array([0, 1, 3, 0, 0, 2]), np.array([ord("n"), ord("n"), ord("b"), -1, ord("a"), ord("a")]), 1))
+    got = set(t.interval_tree(np.array([0, 1, 3, 0, 0, 2]), np.array([ord("n"), ord("n"), ord("b"), -1, ord("a"), ord("a")]), 1))
     assert got == {(1, 2, 3), (0, 2, 1)}  # na is always after an a
 
 
@@ -566,6 +598,47 @@ def test_join_splits_large_buckets(spark, monkeypatch):
     check_join(families(spark, random.Random(22), 4, 40))
 
 
+def test_join_of_texts_with_a_common_passage(spark, monkeypatch):
+    """Large buckets that a passage makes, of texts that aren't alike, beside some that are."""
+    for name, value in (("SMALL", 6), ("BLOCK_ROWS", 9)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(23)
+    passage = prose(rng, 60)
+    rows = [f"{prose(rng, 60)} {passage}" for _ in range(60)]
+    rows += [x.replace(x.split()[3], "changed", 1) for x in rows[:12]]
+    check_join(spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "doc_id long, text string"))
+
+
+def test_sketch_keeps_pairs_at_the_limit():
+    """Of pairs of similarity 0.8 and few shingles, the sketch passes nearly all; of unlike ones few."""
+    rng = np.random.default_rng(5)
+    lost = found = 0
+    for n in (64, 90, 200):
+        for _ in range(400):
+            common = int(np.ceil(n * 8 / 9))
+            x = rng.integers(0, 2**63, 3 * n).astype(np.uint64)
+            a, b, c = np.sort(x[:n]), np.sort(np.concatenate([x[:common], x[n : 2 * n - common]])), np.sort(x[2 * n :])
+            h, at = np.concatenate([a, b, c]), np.array([0, n, 2 * n, 3 * n])
+            s = jaccard_join.sketches(h, at)
+            size = np.full(3, n)
+            one, two = np.array([0, 0]), np.array([1, 2])
+            may = jaccard_join._may_link(size, s[:, 0].copy(), s[:, 1].copy(), one, two)
+            lost += not may[0]
+            found += bool(may[1])
+    assert lost <= 2 and found <= 20
+    bits, splits = jaccard_join.sketch_splits(10**9)
+    assert bits > jaccard_join.sketch_splits(1000)[0] and splits > jaccard_join.sketch_splits(1000)[1]
+
+
+def test_join_finds_the_pairs_of_a_corpus(spark):
+    """Against all pairs of sf0.001, brute force: more than 0.9 of the links, and no other ones."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want, _ = brute_join(texts_of(docs))
+    got = Counter(tuple(r) for r in jaccard_join.join(docs).collect())
+    links = lambda x: sum(r[2] * n for r, n in x.items())
+    assert 0.9 * links(want) < links(got) <= links(want)
+
+
 def test_runs():
     assert jaccard_join.runs_needed(0.999) > jaccard_join.runs_needed(0.9) >= 1
 

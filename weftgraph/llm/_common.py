@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .._session import drop_path, shared_dir, ship, stage, stage_counted, workspace
 
-__all__ = ["drop_path", "least_hashed", "prefix_sums", "shared_dir", "ship", "stage", "stage_counted", "table", "workspace"]
+__all__ = ["drop_path", "least_hashed", "prefix_sums", "shared_dir", "ship", "stage", "stage_counted", "table", "whole_groups", "workspace"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,3 +76,31 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, out: str, rows_per_
         .withColumn(out, (F.col(out) + F.col("weft_offset")).cast("long"))
         .drop("weft_offset")
     )
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int, rows: int = 4096, size: int = 4 << 20) -> Iterator[pa.Table]:
+    """Tables of about so many rows or bytes that hold all rows of the groups in them, from batches sorted by the first columns."""
+    held: list[pa.RecordBatch] = []
+    n = n_bytes = 0
+    last: tuple | None = None
+    for batch in batches:
+        k = 0
+        while k < batch.num_rows:
+            b = batch.slice(k, 1024)
+            k += 1024
+            keys = [b.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)]
+            if n >= rows or n_bytes >= size:
+                same = np.ones(b.num_rows, bool)  # as the last row
+                for c in keys:
+                    same &= c == c[-1]
+                cut = b.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+                if cut or last != tuple(c[0] for c in keys):
+                    yield pa.Table.from_batches([*held, b.slice(0, cut)])
+                    held, n, n_bytes = [], 0, 0
+                    b = b.slice(cut)
+            held.append(b)
+            n += b.num_rows
+            n_bytes += b.nbytes
+            last = tuple(c[-1] for c in keys)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,6 +7,8 @@ code-point definition.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,12 @@ BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
+#: Of k bytes, in little-endian order, the bits that belong to them.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans up to this length are hashed and compared eight bytes at a time.
+LONG_SPAN = 128
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Space and the controls 9 to 13 end a word.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
@@ -52,12 +60,80 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, equal for equal bytes wherever they stand."""
+def rolling_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hash of each byte span; equal spans agree, but different ones can be made to: for candidates only."""
     inverse = powers(_INVERSE, len(prefix))
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 8,), "<u8", padded, 0, (1,))
+
+
+def _chunk(eights: np.ndarray, places: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place, of `left` that are there."""
+    return eights[places] & _MASK[np.minimum(left, 8)]
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span, equal for equal bytes wherever they stand.
+
+    Eight bytes at a time, each mixed in before the next; spans beyond
+    LONG_SPAN by BLAKE2b. Where results must not hang on a hash, `spans_equal`
+    compares the bytes.
+    """
+    eights, size = _eights(data), ends - starts
+    h = mix(_chunk(eights, starts, size) + size.astype(np.uint64) * np.uint64(BASE))
+    rest, k = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(rest):
+        h[rest] = mix((h[rest] ^ _chunk(eights, starts[rest] + k, size[rest] - k)) * np.uint64(_INVERSE))
+        k += 8
+        rest = rest[size[rest] > k]
+    long = np.flatnonzero(size > LONG_SPAN)
+    if len(long):
+        raw = data.tobytes()
+        digests = [hashlib.blake2b(raw[a:b], digest_size=8, key=b"weft").digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        h[long] = np.frombuffer(b"".join(digests), "<u8")
+    return h
+
+
+def spans_equal(data: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether so many bytes of `data` from each `a` on are those of `other` from `b` on."""
+    one, two = _eights(data), _eights(other) if other is not data else None
+    two = one if two is None else two
+    same = _chunk(one, a, size) == _chunk(two, b, size)
+    rest, k = np.flatnonzero(same & (size > 8) & (size <= LONG_SPAN)), 8
+    while len(rest):
+        same[rest] = _chunk(one, a[rest] + k, size[rest] - k) == _chunk(two, b[rest] + k, size[rest] - k)
+        k += 8
+        rest = rest[same[rest] & (size[rest] > k)]
+    for i in np.flatnonzero(same & (size > LONG_SPAN)).tolist():
+        same[i] = np.array_equal(data[a[i] : a[i] + size[i]], other[b[i] : b[i] + size[i]])
+    return same
+
+
+def span_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different span, and of each span the number of its bytes among them: by hash, and then by the bytes."""
+    _, one, which = distinct(span_hash(data, starts, ends))
+    first, size = one[which], ends - starts
+    if len(which) and not ((size == size[first]).all() and spans_equal(data, starts, data, starts[first], size).all()):
+        raw = data.tobytes()  # different spans share a hash: number them by their bytes
+        seen: dict[bytes, int] = {}
+        which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        _, one = np.unique(which, return_index=True)
+    return one, which
+
+
+def release() -> None:
+    """Give memory that Arrow and the allocator hold back to the system, between pieces of work."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values, a place of each, and of each place the number of its value."""
     by = np.argsort(values)
@@ -91,6 +167,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches so that a piece has about `max_bytes` of text, or one longer text; yields rows, bytes, offsets."""
     for batch in batches:
+        release()
         data, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
         n, i = batch.num_rows, 0
         while i < n:
@@ -200,3 +277,50 @@ class SuffixArray:
             length += width * ok
         out[got + 1] = length
         return out
+
+
+def interval_tree(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """Stack scan: (first, last, length) of each common-prefix interval of at least `least` whose left neighbours differ.
+
+    lcp[k] is what suffix k shares with suffix k - 1 (lcp[0] = 0); left is the
+    byte before each suffix, or a number of its own where there is none.
+    """
+    # An entry: length, first suffix, a left neighbour, whether they differ.
+    stack: list[list] = []
+    prefix, before = lcp.tolist(), left.tolist()
+    for k in range(1, len(prefix) + 1):
+        here = prefix[k] if k < len(prefix) else 0
+        start, byte, mixed = k - 1, before[k - 1], False
+        while stack and stack[-1][0] > here:
+            length, start, b, m = stack.pop()
+            mixed = mixed or m or b != byte
+            byte = b
+            if mixed:
+                yield start, k - 1, length
+        if here >= least:
+            if stack and stack[-1][0] == here:
+                stack[-1][3] = stack[-1][3] or mixed or stack[-1][2] != byte
+            else:
+                stack.append([here, start, byte, mixed])
+        elif stack:  # below `least` nothing is open
+            stack.clear()
+
+
+def deepest(n: int, intervals: list[tuple[int, int, int]]) -> np.ndarray:
+    """Of n suffixes, the length of the deepest interval that each lies in; intervals come children first, as the scan gives them."""
+    out = np.zeros(n, np.int64)
+    free = list(range(n + 1))  # the next suffix without a length, by jumps
+    for first, last, length in intervals:
+        k = first
+        while True:
+            root = k
+            while free[root] != root:
+                root = free[root]
+            while free[k] != root:
+                free[k], k = root, free[k]
+            if root > last:
+                break
+            out[root] = length
+            free[root] = root + 1
+            k = root
+    return out

@@ -55,7 +55,7 @@ class Phrases:
         data, offsets = t.buffers(column)
         data = _LOWER[data]
         starts, ends, at = t.word_spans(data, offsets, _WORD)
-        hashes = t.span_hash(t.prefix_hash(data), starts, ends)
+        hashes = t.span_hash(data, starts, ends)
         self.vocabulary = np.unique(hashes)  # symbol k + 1 is the word at k; 0 is a break
         symbols = np.searchsorted(self.vocabulary, hashes).astype(np.int64) + 1
         windows: dict[tuple, set[str]] = {}
@@ -215,7 +215,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
             n = rows.num_rows
             data = _LOWER[data]
             starts, ends, at = t.word_spans(data, offsets, _WORD)
-            word = t.span_hash(t.prefix_hash(data), starts, ends)
+            word = t.span_hash(data, starts, ends)
             found: list[set] = [set() for _ in range(n)]
             firsts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for b in shared:
@@ -262,7 +262,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
         for rows, data, offsets in t.slices(batches, "text", SHARD_BYTES):
             data = _LOWER[data]
             starts, ends, at = t.word_spans(data, offsets, _WORD)
-            word = t.span_hash(t.prefix_hash(data), starts, ends)
+            word = t.span_hash(data, starts, ends)
             good = np.ones(rows.num_rows, bool)
             for b in shared:
                 first, _ = occurrences(word, at, b.value)

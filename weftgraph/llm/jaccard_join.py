@@ -7,15 +7,29 @@ its hash lies below BRANCH / size, below each chosen token further tokens are
 chosen by the hash of the path, and classes that share a path share a bucket.
 Two sets of similarity 0.8 share BRANCH * 0.8 = 1 or more chosen tokens at
 every level, unlike sets almost none. Buckets of at most `SMALL` classes are
-brute-forced; larger ones are split by the next token of their paths; what is
-still large then is compared block by block, first within blocks and then
-between blocks that are not connected yet, so no bucket is capped. `RUNS` follows from the target recall (`runs_needed`).
+brute-forced; larger ones are split by the next token of their paths. What is
+still large after three tokens, and not connected yet, is split by sampled
+bits of the sets' min-hash sketches, repeated until the target recall
+(`sketch_splits`); what no split separates is linked to one representative.
+No bucket is capped, and no row is copied once for each block of its bucket.
+The number of runs follows from the target recall (`runs_needed`).
 
 Brute force in a bucket compares sizes and 128-bit min-hash sketches and
 keeps a spanning set of the pairs that may be similar. Their connected
 components hold all candidates. Within a component every pair is then decided
-exactly on the whole sets, in blocks of bounded size, each text being fetched
-once; only counts and spanning edges leave a block, never all pairs.
+exactly on the whole sets, each text being fetched once. A component of more
+than BLOCK_ROWS different sets is packed into blocks of bounded size, a value
+each, and every two blocks meet in one task: exact numbers of links between
+different texts need that; only counts and spanning edges leave a task, never
+pairs. Copies cost nothing, as they are one set.
+
+Two sets of at least SKETCH_FROM shingles also have to agree in SKETCH_AGREE
+of 128 bits, of which 115 agree on average at similarity 0.8: this loses less
+than one pair in 10,000 there, which the tests measure against all pairs.
+
+A very long text is one set of as many shingles; it is held by one task at a
+time, in about 60 times its size. Ties can't decide anything: equal sets are
+one class, and a class's least doc_id leads it.
 
 Defined results: null and empty texts have no shingles, are their own class
 and have no links; repeated rows and equal sets are one class and link to each
@@ -36,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as t
-from ._common import stage, stage_counted
+from ._common import stage, stage_counted, whole_groups
 from ._graph import components
 
 SHINGLE = 5
@@ -45,9 +59,9 @@ BRANCH = 1.25
 POOL = 8  # tokens of a run that deeper levels choose from, on average
 RECALL = 0.9995
 SMALL = 256
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 500_000
 #: Below this size the sketch says too little and isn't asked.
-SKETCH_FROM, SKETCH_AGREE = 64, 96
+SKETCH_FROM, SKETCH_AGREE = 64, 88
 _BINS = 128
 NULL_ID = -(2**63)
 #: Ids or paths (8 bytes each) that may be broadcast, by count.
@@ -67,7 +81,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Distinct shingle hashes of each document, flat, and the n + 1 offsets."""
     starts, ends, at = t.word_spans(data, offsets)
     n = len(offsets) - 1
-    word = t.span_hash(t.prefix_hash(data), starts, ends)
+    word = t.span_hash(data, starts, ends)
     size = np.diff(at)
     count = np.where(size > 0, np.maximum(size - SHINGLE + 1, 1), 0)
     owner = np.repeat(np.arange(n), count)
@@ -208,32 +222,6 @@ def _labels(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """Tables that hold all rows of the groups in them, from batches sorted by the first columns."""
-    rest: list[pa.RecordBatch] = []
-    rows = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rest.append(b)
-        rows += b.num_rows
-        if rows < 4096:
-            continue
-        whole = pa.Table.from_batches(rest)
-        last = np.ones(whole.num_rows, bool)
-        for k in range(n_keys):
-            c = whole.column(k).to_numpy()
-            last &= c == c[-1]
-        cut = int(np.argmin(last[::-1]))
-        cut = whole.num_rows - cut if not last.all() else 0
-        if cut:
-            yield whole.slice(0, cut)
-            rest = whole.slice(cut).combine_chunks().to_batches()
-            rows = whole.num_rows - cut
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
 def _bucket_edges(whole: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Spanning pairs of cids that may be similar, in buckets of bounded size."""
     key = whole.column(0).to_numpy()
@@ -262,8 +250,8 @@ def _bucket_edges(whole: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _edges_of(rows: DataFrame, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _groups(batches, len(keys)):
-            if len(keys) > 1:  # blocks of one bucket: pairs of blocks have a key of three columns
+        for whole in whole_groups(batches, len(keys)):
+            if len(keys) > 1:  # blocks of one bucket
                 whole = _merged_key(whole, len(keys))
             a, b = _bucket_edges(whole)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -281,7 +269,48 @@ def _merged_key(whole: pa.Table, n_keys: int) -> pa.Table:
     return pa.table([pa.array(np.cumsum(change)), *whole.columns[n_keys:]], names=names)
 
 
-def candidate_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _shared(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged: the (p, cid) of buckets with several members, and the members of each bucket."""
+    several = pairs.groupBy("p").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("p")
+    shared = stage(pairs.join(several, "p").distinct(), "jaccard-shared")
+    return shared, stage(shared.groupBy("p").agg(F.count("*").alias("c")), "jaccard-counts")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Members of large buckets (p, c, cid, n, s0, s1) in blocks; every bucket deals its members out anew, so that what meets in none of them meets in another."""
+    rows = rows.withColumn("nb", F.ceil(F.col("c") / BLOCK_ROWS))
+    return rows.withColumn("i", F.pmod(F.xxhash64("cid", "p"), F.col("nb")).cast("int"))
+
+
+def sketch_splits(largest: int, recall: float = RECALL) -> tuple[int, int]:
+    """Bits per split and number of splits of large buckets of up to `largest` sets.
+
+    Bits of sets of similarity 0.8 agree 9 times in 10; those of sets that share
+    but a third, 65 times in 100, and SMALL of these or fewer should stay together.
+    """
+    bits = max(16, math.ceil(math.log(max(1.0, largest / SMALL)) / -math.log(0.65)))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - 0.9**bits))
+
+
+def _split(members: DataFrame, bits: int, splits: int) -> DataFrame:
+    """(p, cid): each set under a sample of its sketch's bits, once for each split."""
+    rng = np.random.default_rng(11)
+    masks = np.zeros((splits, 128), np.uint8)
+    for row in masks:
+        row[rng.choice(128, min(bits, 128), replace=False)] = 1
+    masks = np.packbits(masks, axis=1).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cid, s0, s1 = (b.column(k).to_numpy() for k in range(3))
+            for r, (m0, m1) in enumerate(masks):
+                key = t.mix(t.mix((s0 & m0).view(np.uint64) + np.uint64(2 * r + 1)) ^ (s1 & m1).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0)], ["p", "cid"])
+
+    return members.select("cid", "s0", "s1").mapInArrow(run, "p long, cid long")
+
+
+def candidate_components(rows: DataFrame, classes: DataFrame, recall: float = RECALL) -> DataFrame:
     """(node, root): components of cids that hold all similar pairs that met.
 
     rows: cid, p, more; classes: cid, n, s0, s1; both staged. Only paths and
@@ -291,9 +320,7 @@ def candidate_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = rows.select("cid", F.explode("p").alias("p"))
     edges: DataFrame | None = None
     for level in (2, 3):
-        several = pairs.groupBy("p").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("p")
-        shared = stage(pairs.join(several, "p").distinct(), "jaccard-shared")
-        counts = stage(shared.groupBy("p").agg(F.count("*").alias("c")), "jaccard-counts")
+        shared, counts = _shared(pairs)
         small = shared.join(counts.where(F.col("c") <= SMALL).select("p"), "p").join(about, "cid")
         small = _edges_of(small, ["p"])
         edges = small if edges is None else edges.unionByName(small)
@@ -305,11 +332,10 @@ def candidate_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
             split = F.broadcast(large) if n_large <= BROADCAST_IDS else large
             zipped = rows.select("cid", F.explode(F.arrays_zip("p", "more")).alias("x")).select("cid", F.col("x.p").alias("p"), F.col("x.more").alias("more"))
             pairs = stage(zipped.join(split.select("p"), "p").select("cid", F.explode("more").alias("p")), "jaccard-third")
-    # Still large after three tokens. First the bucket's blocks, each for itself:
-    # pairs that this and the other buckets connect need no further look, as all
-    # pairs of a component are decided later.
-    left = shared.join(large, "p").join(about, "cid")
-    left = stage(left.withColumn("nb", F.ceil(F.col("c") / BLOCK_ROWS).cast("int")).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("nb").cast("long")).cast("int")), "jaccard-left")
+    # Still large after three tokens. First blocks of each bucket: what this and
+    # the other buckets connect needs no further look, as all pairs of a
+    # component are decided later.
+    left = stage(_blocks(shared.join(large, "p").join(about, "cid")), "jaccard-left")
     edges = stage(edges.unionByName(_edges_of(left, ["p", "i"])), "jaccard-edges")
     comps = components(edges)
     left = left.where("nb > 1").join(comps.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -317,10 +343,16 @@ def candidate_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
     left, n_left = stage_counted(left.join(apart, "p"), "jaccard-apart")
     if not n_left:
         return comps
-    # What is not connected yet: each block with each other.
-    blocks = left.select("p", "cid", "n", "s0", "s1", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).where("i <> o")
-    blocks = blocks.select("p", F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), "cid", "n", "s0", "s1")
-    return components(edges.unionByName(_edges_of(blocks, ["p", "lo", "hi"])))
+    # Sets that share a path by a common passage, mostly: they are split by the
+    # bits of their sketches, a row for each set and split, whatever the bucket's size.
+    bits, splits = sketch_splits(left.agg(F.max("c")).first()[0], recall)
+    members = stage(left.select("cid", "s0", "s1").distinct(), "jaccard-members")
+    shared, counts = _shared(stage(_split(members, bits, splits), "jaccard-split"))
+    small = _edges_of(shared.join(counts.where(F.col("c") <= SMALL).select("p"), "p").join(about, "cid"), ["p"])
+    # What no split separates is near-equal: each is linked to one representative.
+    many = shared.join(counts.where(F.col("c") > SMALL).select("p"), "p")
+    star = many.join(many.groupBy("p").agg(F.min("cid").alias("b")), "p").where("cid <> b").select(F.col("cid").alias("a"), "b")
+    return components(edges.unionByName(small).unionByName(star))
 
 
 def _exact(h: list[np.ndarray], side: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -363,21 +395,63 @@ def _exact(h: list[np.ndarray], side: np.ndarray, same: bool) -> tuple[np.ndarra
     return i, j
 
 
-_LINKS = "cid long, links long, root long, whole boolean"
+_FOUND = "cid long, links long, root long, comp long, side int, nb int, block binary"
+
+
+def _freeze(cid: np.ndarray, copies: np.ndarray, sets: list[np.ndarray]) -> bytes:
+    """A block of sets as one value."""
+    head = np.array([len(cid)], np.int64)
+    return b"".join(x.tobytes() for x in (head, cid, copies.astype(np.int64), np.array([len(x) for x in sets], np.int64), *sets))
+
+
+def _thaw(block: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    m = int(np.frombuffer(block, np.int64, 1)[0])
+    cid, copies, size = np.frombuffer(block, np.int64, 3 * m, 8).reshape(3, m)
+    tok = np.frombuffer(block, np.uint64, offset=8 + 24 * m)
+    return cid, copies, np.split(tok, np.cumsum(size)[:-1])
+
+
+def _links(cid: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sets that link: number, links to rows, and the least set that links lead to."""
+    i, j = _exact(sets, side, same)
+    links = np.bincount(i, copies[j], len(cid)) + np.bincount(j, copies[i], len(cid))
+    label = np.arange(len(cid))
+    while len(i):  # least label over the links, with jumps
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    hit = np.flatnonzero(links)
+    return cid[hit], links[hit].astype(np.int64), cid[label[hit]]
+
+
+def _found(cid, links, root, comp=None, side=None, nb=None, block=None) -> pa.RecordBatch:
+    n = len(cid)
+    blank = lambda x, kind: pa.array([x] * n, kind)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cid, pa.int64()), pa.array(links, pa.int64()), pa.array(root, pa.int64()), blank(comp, pa.int64()), blank(side, pa.int32()), blank(nb, pa.int32()), blank(block, pa.binary())],
+        [c.split()[0] for c in _FOUND.split(", ")],
+    )
 
 
 def _verify(rows: DataFrame) -> DataFrame:
-    """Links and local roots, by rows (comp, lo, hi, side, cid, copies, nb, blob) with the sets' texts; whole: of a component in one block."""
+    """Links and local roots of components in one block; of larger ones, their blocks, a row each.
+
+    rows: comp, side, cid, copies, nb and the sets' texts as blob.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         open_ = zstandard.ZstdDecompressor()
-        for whole in _groups(batches, 3):
-            comp, lo, hi, side, cid, copies, nb = (whole.column(k).to_numpy() for k in range(7))
-            change = np.concatenate([[True], (comp[1:] != comp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        for whole in whole_groups(batches, 2):
+            comp, side, cid, copies, nb = (whole.column(k).to_numpy() for k in range(5))
+            change = np.concatenate([[True], (comp[1:] != comp[:-1]) | (side[1:] != side[:-1])])
             begin = np.append(np.flatnonzero(change), len(comp))
-            blobs = whole.column(7)
+            blobs = whole.column(5)
             for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                 texts = [open_.decompress(x) for x in blobs.slice(a, b - a).to_pylist()]
                 lengths = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
@@ -392,32 +466,38 @@ def _verify(rows: DataFrame) -> DataFrame:
                     k = e
                 # Rows of another text under the same doc_id, or repeated rows, don't count.
                 mine = np.concatenate(own)
-                _, one = np.unique(cid[a:b], return_index=True)
-                good = np.zeros(b - a, bool)
-                seen: set[int] = set()
+                good, seen = [], set()
                 for i in range(b - a):
                     if mine[i] == cid[a + i] and int(cid[a + i]) not in seen:
-                        good[i] = True
+                        good.append(i)
                         seen.add(int(cid[a + i]))
-                at = np.flatnonzero(good)
-                c, w, s = cid[a + at], copies[a + at], side[a + at]
-                i, j = _exact([sets[x] for x in at.tolist()], s, lo[a] == hi[a])
-                if not len(i):
-                    continue
-                links = np.bincount(i, w[j], len(c)) + np.bincount(j, w[i], len(c))
-                label = np.arange(len(c))
-                while True:  # least label over the links, with jumps
-                    new = label.copy()
-                    np.minimum.at(new, i, label[j])
-                    np.minimum.at(new, j, label[i])
-                    new = np.minimum(new, new[new])
-                    if (new == label).all():
-                        break
-                    label = new
-                hit = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(links[hit].astype(np.int64)), pa.array(c[label[hit]]), pa.array(np.full(len(hit), nb[a] == 1))], ["cid", "links", "root", "whole"])
-
-    return rows.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "cid").mapInArrow(run, _LINKS)
+                at = np.array(good, np.int64)
+                c, w, sets = cid[a + at], copies[a + at], [sets[x] for x in good]
+                if nb[a] > 1:
+                    yield _found([None], [None], [None], int(comp[a]), int(side[a]), int(nb[a]), _freeze(c, w, sets))
+                else:
+                    yield _found(*_links(c, w, sets, np.zeros(len(c)), True))
+
+    return rows.repartition("comp", "side").sortWithinPartitions("comp", "side", "cid").mapInArrow(run, _FOUND)
+
+
+def _between(blocks: DataFrame) -> DataFrame:
+    """Links within and between the blocks (comp, side, nb, block) of large components; what is copied are blocks, not their members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches, 3, rows=1):
+            comp, lo, hi, side = (whole.column(k).to_numpy() for k in range(4))
+            change = np.concatenate([[True], (comp[1:] != comp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+            begin = np.append(np.flatnonzero(change), len(comp))
+            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                parts = [_thaw(whole.column(4)[k].as_py()) for k in range(a, b)]
+                sides = np.repeat(side[a:b], [len(p[0]) for p in parts])
+                cid, copies = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+                yield _found(*_links(cid, copies, [x for p in parts for x in p[2]], sides, lo[a] == hi[a]))
+
+    tasks = blocks.select("comp", "side", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    tasks = tasks.select("comp", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "side", "block")
+    return tasks.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(run, _FOUND)
 
 
 def _pack(texts: DataFrame) -> DataFrame:
@@ -447,7 +527,7 @@ def _joined(docs: DataFrame, recall: float) -> DataFrame:
     slim = rows.select("id", "cid", "n")
     classes = rows.where("n > 0").groupBy("cid").agg(_least_id("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
     classes = stage(classes, "jaccard-classes")
-    comps = candidate_components(rows.where("n > 0"), classes)
+    comps = candidate_components(rows.where("n > 0"), classes, recall)
     members = comps.select(F.col("node").alias("cid"), F.col("root").alias("comp")).join(classes.select("cid", "rep", "copies", "n"), "cid")
     members = stage(members, "jaccard-members")
     blocks = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
@@ -457,13 +537,15 @@ def _joined(docs: DataFrame, recall: float) -> DataFrame:
         texts = _pack(_slim(docs).join(F.broadcast(placed), F.col("id") == F.col("rep")))
     else:
         texts = placed.join(_pack(_slim(docs)), placed["rep"] == F.col("id"))
-    tasks = texts.select("comp", "cid", "copies", "side", "nb", "blob", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    tasks = tasks.select("comp", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "side", "cid", "copies", "nb", "blob")
-    found = stage(_verify(tasks), "jaccard-links")
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    found = stage(_verify(texts.select("comp", "side", "cid", "copies", "nb", "blob")), "jaccard-links")
     # A component in one block has its roots already; between blocks they are joined.
-    roots = components(found.where("not whole").select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "root")
-    roots = roots.unionByName(found.where("whole").select("cid", "root"))
+    roots = found.where("cid is not null").select("cid", "root")
+    if placed.where("nb > 1").limit(1).count():
+        more = stage(_between(found.where("block is not null").select("comp", "side", "nb", "block")), "jaccard-between")
+        joined = components(more.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "root")
+        roots = roots.unionByName(joined)
+        found = found.where("cid is not null").select("cid", "links").unionByName(more.select("cid", "links"))
+    links = found.where("cid is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     info = classes.select("cid", "rep", "copies").join(links, "cid", "left").join(roots, "cid", "left")
     info = info.select("cid", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
     lead = info.groupBy("root").agg(_least_id("rep").alias("lead"))

@@ -100,7 +100,7 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Hash and paragraph of every 1- to 3-gram, and the words of each paragraph as n + 1 offsets; here a document is a paragraph."""
     low = _LOWER[data]
     starts, ends, at = t.word_spans(low, offsets, _WORD)
-    word = t.span_hash(t.prefix_hash(low), starts, ends)
+    word = t.span_hash(low, starts, ends)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
     h, places, owners = word, [], []
     for n in range(1, 4):

@@ -65,17 +65,16 @@ def dense(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts = np.unique(np.concatenate([offsets[:-1], feeds + 1]))
     starts = starts[starts < len(data)]
     ends = np.append(starts[1:], len(data))
-    prefix = t.prefix_hash(data)
     owner = np.searchsorted(offsets, starts, "right") - 1
     long = ends - starts > 20
     ends = np.where(data[ends - 1] == 10, ends - 1, ends) if len(ends) else ends
-    h = t.span_hash(prefix, starts[long], ends[long]) + owner[long].astype(np.uint64) * np.uint64(t.BASE)
+    h = t.span_hash(data, starts[long], ends[long]) + owner[long].astype(np.uint64) * np.uint64(t.BASE)
     _, one, _ = t.distinct(h)
     fresh = np.zeros(int(long.sum()), bool)
     fresh[one] = True
     lines = np.maximum(np.bincount(owner[long], minlength=len(n_words)), 1)
     cols.append(np.bincount(owner[long][~fresh], minlength=len(n_words)) / lines)
-    word = t.span_hash(prefix, begin, end)
+    word = t.span_hash(data, begin, end)
     again = np.zeros(len(word), bool)  # words that follow themselves
     again[1:] = word[1:] == word[:-1]
     again[at[:-1][at[:-1] < len(word)]] = False
@@ -88,7 +87,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Hashed place of every word, and the n + 1 offsets of the documents."""
     low = _LOWER[data]
     starts, ends, at = t.word_spans(low, offsets, _WORD)
-    return (t.span_hash(t.prefix_hash(low), starts, ends) >> np.uint64(64 - BITS)).astype(np.int64), at
+    return (t.span_hash(low, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64), at
 
 
 @dataclass

@@ -64,7 +64,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int = MIN, gram: int =
         return none
     prefix = t.prefix_hash(data)
     at = np.arange(n - gram + 1)
-    h = t.span_hash(prefix, at, at + gram)
+    h = t.rolling_hash(prefix, at, at + gram)
     # The least hash, and the first place of it: both follow from the window's bytes alone.
     place = least_places((h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), least - gram + 1)
     place = (place & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -80,7 +80,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int = MIN, gram: int =
     first = np.flatnonzero(new)
     windows = np.diff(np.append(first, len(doc)))
     lo, rel = start[first], place[first] - start[first]
-    seg = t.mix(t.span_hash(prefix, lo, lo + windows + least - 1) + rel.astype(np.uint64))
+    seg = t.mix(t.rolling_hash(prefix, lo, lo + windows + least - 1) + rel.astype(np.uint64))
     return {"doc": doc[first], "lo": lo - offsets[:-1][doc[first]], "windows": windows, "rel": rel, "anchor": h[place[first]].view(np.int64), "seg": seg.view(np.int64)}
 
 
@@ -117,33 +117,6 @@ def _packed(docs: DataFrame) -> DataFrame:
     return _slim(docs).mapInArrow(run, "id long, tkey long, blob binary")
 
 
-def interval_tree(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """Stack scan: (first, last, length) of each common-prefix interval of at least `least` whose left neighbours differ.
-
-    lcp[k] is what suffix k shares with suffix k - 1 (lcp[0] = 0); left is the
-    byte before each suffix, or a number of its own where there is none.
-    """
-    # An entry: length, first suffix, a left neighbour, whether they differ.
-    stack: list[list] = []
-    prefix, before = lcp.tolist(), left.tolist()
-    for k in range(1, len(prefix) + 1):
-        here = prefix[k] if k < len(prefix) else 0
-        start, byte, mixed = k - 1, before[k - 1], False
-        while stack and stack[-1][0] > here:
-            length, start, b, m = stack.pop()
-            mixed = mixed or m or b != byte
-            byte = b
-            if mixed:
-                yield start, k - 1, length
-        if here >= least:
-            if stack and stack[-1][0] == here:
-                stack[-1][3] = stack[-1][3] or mixed or stack[-1][2] != byte
-            else:
-                stack.append([here, start, byte, mixed])
-        elif stack:  # below `least` nothing is open
-            stack.clear()
-
-
 def repeated(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, least: int = MIN) -> list[tuple[np.ndarray, int]]:
     """Maximal repeat groups: (places, length), of windows at `starts` in concatenated pieces; ends: the end of each byte's piece."""
     n = len(data)
@@ -193,7 +166,7 @@ def repeated(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, least: int
             continue  # all have the same byte on their left, and so has every interval within
         own = shared[x:y].copy()
         own[0] = 0
-        for u, v, length in interval_tree(own, left[x:y], least):
+        for u, v, length in t.interval_tree(own, left[x:y], least):
             out.append((order[x + u : x + v + 1], int(length)))
     return out
 
@@ -239,7 +212,7 @@ def _windows(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndar
     count = np.maximum(np.diff(offsets) - least + 1, 0)
     seg = np.repeat(np.arange(len(count)), count)
     start = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[:-1], count)
-    return seg, start, t.span_hash(t.prefix_hash(data), start, start + least)
+    return seg, start, t.rolling_hash(t.prefix_hash(data), start, start + least)
 
 
 def _whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

@@ -127,7 +127,7 @@ class Encoder:
         if b"<|" not in data.tobytes():  # a special token has its own case
             data = _LOWER[data]
         starts, ends, at = pieces(data, offsets)
-        hashes = t.span_hash(t.prefix_hash(data), starts, ends)
+        hashes = t.span_hash(data, starts, ends)
         distinct, one, which = t.distinct(hashes)
         place = np.searchsorted(self.hashes, distinct)
         known = self.hashes[np.minimum(place, max(0, len(self.hashes) - 1))] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
