@@ -4,13 +4,13 @@ All on the JVM: DataFrame functions only. The list is turned into a blocked
 Bloom filter, a table (block, bits) of one 64-bit word per block. A page's
 canonical URL names one block; only pages whose bits are all set there, the
 possible hits, go to the exact hash join with the list, which removes the
-false positives. The filter and the list are broadcast only when a count has
+false positives. Pages are read once. The filter and the list are broadcast only when a count has
 shown them to be small; beyond that the same joins shuffle.
 
 Defined results: a null URL, or one without ``://``, has empty host and path,
 fits no rule and is never listed, so it is allowed; where several rules fit,
 the longest wins, then the one with the longer host, then the later in code
-point order; repeated rows each get their own verdict; an empty table gives an
+point order; a very long URL is as any other; repeated rows each get their own verdict; an empty table gives an
 empty result; an empty list blocks nothing; further columns are ignored.
 """
 
@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stage
+
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 #: Broadcast up to so many filter blocks (16 bytes each) and so many bytes of list.
@@ -91,24 +93,21 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule]) -> D
     """page_id, host, path, rule and verdict of every row of `pages` (page_id, url); `listed` has blocked addresses in `url`."""
     host, path, query = parts(F.col("url"))
     listed = listed.select(host.alias("h"), path.alias("p"), query.alias("q")).where("h <> ''").select(canonical(F.col("h"), F.col("p"), F.col("q")).alias("canon")).distinct()
+    listed = stage(listed, "listed-urls")
     n, n_bytes = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("canon") + 16), F.lit(0))).first()
     n_blocks = max(1, -(-n // KEYS_PER_BLOCK))
     words = bloom(listed, n_blocks)
     words = F.broadcast(words) if n_blocks <= BROADCAST_BLOCKS else words
+    listed = listed.select(F.col("canon").alias("listed"))
     listed = F.broadcast(listed) if n_bytes <= BROADCAST_BYTES else listed
 
     judged = with_parts(pages).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    ruled = judged.where("fit is not null")
-    out = ["page_id", "host", "path", F.col("fit.rule").alias("rule")]
-    free = judged.where("fit is null")
-    open_ = free.where("canon is not null").withColumn("mask", _bits(F.col("canon"))).withColumn("at", F.pmod(F.xxhash64("canon"), F.lit(n_blocks)))
-    tested = open_.join(words, F.col("at") == F.col("block"), "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)))
-    sure = tested.where("not maybe").select(*out, F.lit("allow").alias("verdict"))
-    hits = tested.where("maybe").join(listed.select(F.col("canon").alias("listed")), F.col("canon") == F.col("listed"), "left")
-    hits = hits.select(*out, F.when(F.col("listed").isNotNull(), "block").otherwise("allow").alias("verdict"))
-    return (
-        ruled.select(*out, F.col("fit.verdict").alias("verdict"))
-        .unionByName(free.where("canon is null").select(*out, F.lit("allow").alias("verdict")))
-        .unionByName(sure)
-        .unionByName(hits)
-    )
+    # Rows that a rule decides or that have no address ask for a block or address of their own that isn't there, so that they meet in no task.
+    asks = F.col("fit").isNull() & F.col("canon").isNotNull()
+    nowhere = F.xxhash64("page_id", "host", "path").bitwiseOR(F.lit(-(2**63)))
+    tested = judged.withColumn("at", F.when(asks, F.pmod(F.xxhash64("canon"), F.lit(n_blocks))).otherwise(nowhere)).join(words, F.col("at") == F.col("block"), "left")
+    maybe = F.col("bits").bitwiseAND(_bits(F.col("canon"))) == _bits(F.col("canon"))
+    probe = F.when(F.coalesce(maybe, F.lit(False)), F.col("canon")).otherwise(F.concat(F.lit("://"), nowhere.cast("string")))
+    exact = tested.withColumn("probe", probe).join(listed, F.col("probe") == F.col("listed"), "left")
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("listed").isNotNull(), "block").otherwise("allow"))
+    return exact.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
