@@ -136,6 +136,40 @@ def test_encoder_equals_the_library():
         assert ids[bounds[k] : bounds[k + 1]].tolist() == [*encoder.tokenizer.encode(x, add_special_tokens=False).ids, 1], x[:50]
 
 
+def test_encoder_on_odd_texts():
+    """Random Unicode, and texts whose pieces have equal polynomial hashes."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    encoder = token_store.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.by_pieces
+    rng = random.Random(31)
+    alphabet = "aZé'.,!?# \n\t09ßİıǅﬁ漢\u0301\u0338\u00a0\u2028\u200d😀<|>sdtmvelr" + "".join(map(chr, range(0xC0, 0x100)))
+    texts = ["".join(rng.choice(alphabet) if rng.random() < 0.9 else chr(rng.choice([rng.randrange(1, 0xD800), rng.randrange(0xE000, 0x11000)])) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    for n in (512, 1024):
+        texts += [" ".join(thue_morse(n)), " ".join(thue_morse(n, "-", "Y"))]
+    data, offsets = t.buffers(pa.array(texts))
+    for by_pieces in (True, False):
+        encoder.by_pieces = by_pieces
+        ids, bounds = encoder(data, offsets)
+        for k, x in enumerate(texts):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == [*encoder.tokenizer.encode(x, add_special_tokens=False).ids, 1], x[:50]
+
+
+def test_store_files_are_in_order(spark, monkeypatch):
+    import public_tokenizers
+
+    whole = token_store.prefix_sums
+    monkeypatch.setattr(token_store, "prefix_sums", lambda *a: whole(*a, rows_per_bucket=40))
+    docs = spark.createDataFrame([((k * 7919) % 1009, f"text {k % 5}") for k in range(300)], "doc_id long, text string")
+    to = workspace(spark, "store")
+    token_store.write_store(docs, to, public_tokenizers.path("word_bpe_49k.json"))
+    files = spark.read.parquet(f"{to}/recipes").groupBy(F.input_file_name()).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("a").collect()
+    assert all(x.b < y.a for x, y in zip(files, files[1:], strict=False))
+    rows = token_store.verify(spark, to).orderBy("doc_id").collect()
+    assert len(rows) == 300 and all(y.start == x.start + x.n_tokens for x, y in zip(rows, rows[1:], strict=False))
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 40_000, 20_000).astype(np.int32)
@@ -372,22 +406,59 @@ def test_repeats(spark, odd, empty, monkeypatch):
     for least in (60, 400):
         want = brute_repeats(texts_of(docs), least)
         assert repeats_of(docs, least) == want
-    monkeypatch.setattr(repeats, "HOT", 3)
+    monkeypatch.setattr(repeats, "HOT_BYTES", 300)
     assert repeats_of(docs, 60) == brute_repeats(texts_of(docs), 60)
     assert repeats.remove(empty).count() == 0
 
 
-def test_repeat_groups(spark):
+def brute_groups(texts, least):
+    """All maximal repeats, by extending every repeated window to both sides."""
+    at = {}
+    raw = [x.encode() for _, x in texts]
+    for d, x in enumerate(raw):
+        for i in range(len(x) - least + 1):
+            at.setdefault(x[i : i + least], []).append((d, i))
+    out, todo = set(), [(w, tuple(p)) for w, p in at.items() if len(p) > 1]
+    while todo:
+        w, places = todo.pop()
+        before = {raw[d][i - 1] if i else (d, i) for d, i in places}
+        after = {}
+        for d, i in places:
+            end = i + len(w)
+            after.setdefault(raw[d][end : end + 1] or (d, i), []).append((d, i))
+        if len(after) > 1 and len(before) > 1:
+            out.add((len(w), tuple(sorted((texts[d][0], i) for d, i in places))))
+        for x, own in after.items():
+            if len(own) > 1:
+                todo.append((w + x, tuple(own)))
+    return out
+
+
+def test_repeat_groups(spark, monkeypatch):
     rng = random.Random(10)
-    shared = prose(rng, 120)
-    docs = spark.createDataFrame([(k, prose(rng, 30) + " |" + shared + "| " + prose(rng, 30)) for k in range(6)] + [(9, prose(rng, 100))], "doc_id long, text string")
-    text = {r.doc_id: r.text for r in docs.collect()}
-    groups = {}
-    for r in repeats.repeat_groups(docs).collect():
-        groups.setdefault((r.group, r.length), []).append(text[r.doc_id][r.start : r.start + r.length])
-    assert groups
-    assert all(len(set(g)) == 1 and len(g) >= 2 for g in groups.values())
-    assert any(len(g) == 6 for g in groups.values())
+    p, q, r = prose(rng, 25), prose(rng, 25), prose(rng, 25)
+    rows = [f"{prose(rng, 10)} {p}|{q}|{r} {prose(rng, 10)}", f"{prose(rng, 12)} {p}|{q}|{r}", f"{p}|{q} {prose(rng, 9)}", f"x{q}|{r}", f"x{q}|{r} tail"]
+    rows += [prose(rng, 60)] * 3 + [f"é{p}{p}", "ab" * 90, prose(rng, 30), None, ""]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "doc_id long, text string")
+    want = brute_groups([(d, x) for d, x in texts_of(docs)], 60)
+
+    def groups():
+        out = {}
+        for x in repeats.repeat_groups(docs, 60).collect():
+            out.setdefault((x.group, x.length), set()).add((x.doc_id, x.start))
+        return {(length, tuple(sorted(places))) for (_, length), places in out.items()}
+
+    got = groups()
+    assert got == want
+    covered = {}
+    for length, places in got:
+        for d, i in places:
+            covered.setdefault(d, set()).update(range(i, i + length))
+    removed = {x.doc_id: x.n_removed for x in repeats.remove(docs, 60).collect()}
+    assert {d: len(covered.get(d, ())) for d in removed} == removed
+    for name, value in (("HOT_BYTES", 200), ("GROUP_BYTES", 1500)):
+        monkeypatch.setattr(repeats, name, value)
+    assert groups() == want
 
 
 def test_interval_tree():

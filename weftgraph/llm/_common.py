@@ -38,38 +38,24 @@ def least_hashed(df: DataFrame, keys: list[str], most: int) -> DataFrame:
 def prefix_sums(df: DataFrame, order: list[str], value: str, out: str, rows_per_bucket: int = 50_000) -> DataFrame:
     """Add `out`: the sum of `value` over all rows before this one in the order of `order`.
 
-    The first order column is cut into ranges at approximate quantiles, so that
-    no task gets more than about `rows_per_bucket` rows unless one value of it
-    repeats; the totals of the ranges (one row each) give the offsets.
-    `df` is evaluated several times: pass a staged table. Nulls sort first.
+    A range shuffle by the first order column makes ranges of about
+    `rows_per_bucket` rows, more only where one value of it repeats; the totals
+    of the ranges (one row each) give the offsets. `df` is evaluated several
+    times: pass a staged table. Nulls sort first. Adds `weft_bucket` too.
     """
     first = order[0]
     n = df.count()
     n_buckets = max(1, -(-n // rows_per_bucket))
-    cuts: list = []
     if n_buckets > 1:
-        at = [i / n_buckets for i in range(1, n_buckets)]
-        cuts = df.select(F.percentile_approx(first, at, 20 * n_buckets)).first()[0] or []
-        cuts = sorted(set(cuts))
-    spark = df.sparkSession
-    if cuts:
-        edges = spark.createDataFrame([(cuts,)], f"weft_cuts array<{df.schema[first].dataType.simpleString()}>")
-        # A literal array of range ends: a row's bucket is the number of ends below it.
-        ends = F.array(*[F.lit(c) for c in cuts]) if len(cuts) <= 64 else None
-        if ends is None:
-            df = df.crossJoin(F.broadcast(edges))  # one row, of n / rows_per_bucket numbers
-            ends = F.col("weft_cuts")
-        df = df.withColumn("weft_bucket", F.coalesce(F.size(F.filter(ends, lambda c: c < F.col(first))), F.lit(0))).drop("weft_cuts")
+        # A range shuffle samples the cuts itself and places a row by binary search. The
+        # ranges are written once, so that the numbers of the partitions stay.
+        df = stage(df.repartitionByRange(n_buckets, F.col(first).asc_nulls_first()).withColumn("weft_bucket", F.spark_partition_id()), "ranges")
     else:
         df = df.withColumn("weft_bucket", F.lit(0))
-    df = df.withColumn("weft_bucket", F.when(F.col(first).isNull(), -1).otherwise(F.col("weft_bucket")))
-    totals = {r[0]: int(r[1] or 0) for r in df.groupBy("weft_bucket").agg(F.sum(value)).collect()}
-    seen, offsets = 0, []
-    for b in sorted(totals):
-        offsets.append((b, seen))
-        seen += totals[b]
+    per = df.groupBy("weft_bucket").agg(F.sum(value).alias("weft_total"))
+    # A row per range: the offsets are sums over those rows.
+    offs = per.select("weft_bucket", F.coalesce(F.sum("weft_total").over(Window.orderBy("weft_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("weft_offset"))
     before = Window.partitionBy("weft_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    offs = spark.createDataFrame(offsets or [(0, 0)], "weft_bucket int, weft_offset long")
     return (
         df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
         .join(F.broadcast(offs), "weft_bucket")  # a row per range

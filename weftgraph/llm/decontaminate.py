@@ -23,7 +23,6 @@ result or no hits; further columns are ignored, or kept by `clean`.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,10 +248,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
     return slim.mapInArrow(run, SCHEMA)
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of `docs`, all columns, that hold no window of the benchmark."""
     sc = docs.sparkSession.sparkContext

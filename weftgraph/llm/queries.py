@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,15 +66,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontaminate import items_digest, scan
+    from .decontaminate import scan
 
-    @F.pandas_udf("string")
-    def digest(items: pd.Series) -> pd.Series:
-        return items.map(items_digest)
-
-    none = hashlib.sha256(b"").hexdigest()
     found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    sha = F.when(F.col("n_items") > 0, digest("items")).otherwise(none)
+    sha = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

@@ -9,8 +9,8 @@ The store is three Parquet tables below one path:
 * ``recipes``: in ascending order of doc_id, doc_id, start (ids of all
   documents before), n_tokens, chunks (digests in order), sizes, root (the
   Merkle root of the digests), part;
-* ``manifest``: per part of the recipes, the number of documents and ids and
-  the Merkle root of the documents' roots.
+* ``manifest``: per part of the recipes, the number of documents and ids,
+  the Merkle root of the documents' roots, and the width of an id.
 
 `verify` reads all three back: payloads against digests, digests against
 roots, roots against the manifest, and gives every document's CRC-32 from the
@@ -18,6 +18,9 @@ checksums of the stored chunks (the CRC of a concatenation is the XOR of the
 parts' CRCs, each shifted by the bytes after it), so no payload is shuffled to
 check a document. `read_ids` puts the documents together again.
 
+A very long text is encoded whole, by itself, in about 60 times its size of
+memory; a chunk never has more than LONGEST ids.
+
 Defined results: a null text is as an empty one, an end id alone; several rows
 of one doc_id are stored in the order of their digests; a null doc_id comes
 first; equal rows are stored once as chunks and each get a recipe; an empty
@@ -27,6 +30,7 @@ table gives three empty tables; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -46,7 +50,8 @@ END_ID = 1
 #: Rolling window, mean chunk (a power of two) and longest chunk, in ids.
 WINDOW, MEAN, LONGEST = 16, 512, 4096
 _ROLL = 0x9E3779B97F4A7C15
-CACHE_WORDS = 1_000_000
+#: Bytes of pieces and ids that a task keeps, about.
+CACHE_BYTES = 32 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 1: ASCII letters; 2: ASCII marks that neither compose with what follows nor belong to a special token.
@@ -87,13 +92,34 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: What a tokenizer must do with a text before its model sees it, for pieces of the text to be encoded apart.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _spelt(spec: dict) -> bool:
+    """Whether a tokenizer composes, lower-cases, drops white space, splits letters from digits and marks, and then only spells bytes."""
+    before = spec.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers") or []
+    split, bytes_ = (steps + [{}, {}])[:2]
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and len(steps) == 2
+        and (split.get("type"), split.get("pattern"), split.get("invert")) == ("Split", {"Regex": _WORDS}, True)
+        and split.get("behavior") == "Removed"
+        and (bytes_.get("type"), bytes_.get("add_prefix_space"), bytes_.get("use_regex")) == ("ByteLevel", False, False)
+        and all(x["content"].startswith("<|") and not x["normalized"] for x in spec.get("added_tokens") or ())
+    )
+
+
 class Encoder:
-    """Ids of texts by a `tokenizers` file, each distinct piece of text encoded once.
+    """Ids of texts by a `tokenizers` file, as if each whole text were encoded.
 
-    Texts are cut at ASCII white space and between an ASCII letter and a mark,
-    and lower-cased where that is safe. This is right for tokenizers that drop
-    white space and case and whose words end at those cuts; the tests compare
-    it with whole-text encoding.
+    Where the file says that texts are composed, lower-cased, and split into
+    letters, digits and marks (`_spelt`), no id depends on what lies beyond
+    white space or between an ASCII letter and a mark: texts are cut there and
+    each distinct piece is encoded once, kept by its bytes. The tests compare
+    it with whole texts. With any other file, whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -102,49 +128,51 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        # Words of Latin letters can skip the normalizer and the pre-tokenizer if all those do is to spell bytes.
-        trial = ["a", "the", "tion", "unbelievable", "zqxjkvw", "élève", "größe", "ñandúÿ"]
-        self.direct = all([x.id for x in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_LETTERS))] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in trial)
+        self.by_pieces = _spelt(json.loads(self.tokenizer.to_str()))
         self.reset()
 
     def reset(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.slots: dict[bytes, int] = {}
+        self.held = 0
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, flat, and how many each has."""
+        """Ids of distinct pieces, flat, and how many each has; words of Latin letters need only be spelt as bytes for the model."""
         model, whole = self.tokenizer.model.tokenize, _WORD.fullmatch
         low = [w.lower() for w in words]
-        plain = [self.direct and whole(w) is not None for w in low]
+        plain = [whole(w) is not None for w in low]
         rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
         got = [[x.id for x in model(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS))] if p else next(rest).ids for w, p in zip(low, plain, strict=True)]
         return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        got = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], add_special_tokens=False)
+        ids = [np.array([*x.ids, END_ID], np.int32) for x in got]
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.cumsum([0, *map(len, ids)])
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many texts with the end id after each, and the n + 1 offsets of the documents."""
+        if not self.by_pieces:
+            return self._whole(data, offsets)
         if b"<|" not in data.tobytes():  # a special token has its own case
             data = _LOWER[data]
         starts, ends, at = pieces(data, offsets)
-        hashes = t.span_hash(data, starts, ends)
-        distinct, one, which = t.distinct(hashes)
-        place = np.searchsorted(self.hashes, distinct)
-        known = self.hashes[np.minimum(place, max(0, len(self.hashes) - 1))] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
-        new = np.flatnonzero(~known)
-        if len(new):
-            if len(self.hashes) + len(new) > CACHE_WORDS:
+        one, which = t.span_numbers(data, starts, ends)
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        new = [k for k in keys if k not in self.slots]
+        if new:
+            if self.held > CACHE_BYTES:
                 self.reset()
-                new = np.arange(len(distinct))
-            raw = data.tobytes()
-            flat, size = self.words([raw[a:b].decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
+                new = keys
+            flat, size = self.words([k.decode() for k in new])
+            self.slots.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            self.held += sum(map(len, new)) + 100 * len(new) + 4 * len(flat)
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
             self.flat = np.concatenate([self.flat, flat])
-            self.hashes = np.concatenate([self.hashes, distinct[new]])
             self.size = np.concatenate([self.size, size])
-            by = np.argsort(self.hashes)
-            self.hashes, self.begin, self.size = self.hashes[by], self.begin[by], self.size[by]
-            place = np.searchsorted(self.hashes, distinct)
+        place = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
         n = len(offsets) - 1
         per_word = self.size[place][which] if len(which) else np.zeros(0, np.int64)
         total = np.zeros(len(per_word) + 1, np.int64)
@@ -196,7 +224,7 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-def _digest(payload: bytes) -> bytes:
+def _digest(payload) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
 
@@ -208,42 +236,36 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         encoder = Encoder(tokenizer)
         kind = np.dtype(f"<u{encoder.width}")
         given: set[bytes] = set()
-        for rows, data, offsets in t.slices(batches, "text", 5 << 19):
+        for rows, data, offsets in t.slices(batches, "text", 3 << 19):
             ids, bounds = encoder(data, offsets)
             ends = cut(ids, bounds)
-            raw = ids.astype(kind).tobytes()
-            chunks, sizes, fresh, payloads = [], [], [], []
+            raw = memoryview(ids.astype(kind).tobytes())
             last = np.searchsorted(ends, bounds[1:], "right")
-            k, begin = 0, 0
-            for d in range(len(last)):
-                own, size, new, payload = [], [], [], []
-                while k < last[d]:
-                    end = int(ends[k])
-                    piece = raw[begin * kind.itemsize : end * kind.itemsize]
-                    x = _digest(piece)
-                    own.append(x)
-                    size.append(end - begin)
-                    if x not in given:
-                        if len(given) > 1_000_000:  # then some are given again; the store keeps one
-                            given.clear()
-                        given.add(x)
-                        new.append(x)
-                        payload.append(piece)
-                    begin, k = end, k + 1
-                chunks.append(own)
-                sizes.append(size)
-                fresh.append(new)
-                payloads.append(payload)
-            blob = pa.list_(pa.binary())
+            begin = np.concatenate([[0], ends[:-1]])
+            spots = zip((begin * kind.itemsize).tolist(), (ends * kind.itemsize).tolist(), strict=True)
+            digests = [_digest(raw[a:b]) for a, b in spots]
+            fresh = np.zeros(len(digests), bool)
+            for k, x in enumerate(digests):
+                if x not in given:
+                    if len(given) > 200_000:  # then some are given again; the store keeps one
+                        given.clear()
+                    given.add(x)
+                    fresh[k] = True
+            at = pa.array(np.concatenate([[0], last]).astype(np.int32))
+            new = np.flatnonzero(fresh)
+            new_at = pa.array(np.searchsorted(new, np.concatenate([[0], last])).astype(np.int32))
+            payloads = pa.array([raw[begin[k] * kind.itemsize : ends[k] * kind.itemsize] for k in new.tolist()], pa.binary())
+            flat = pa.array(digests, pa.binary())
+            cuts = np.concatenate([[0], last]).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
                     pa.array(np.diff(bounds)),
-                    pa.array(chunks, blob),
-                    pa.array(sizes, pa.list_(pa.int32())),
-                    pa.array([merkle(x) for x in chunks], pa.binary()),
-                    pa.array(fresh, blob),
-                    pa.array(payloads, blob),
+                    pa.ListArray.from_arrays(at, flat),
+                    pa.ListArray.from_arrays(at, pa.array((ends - begin).astype(np.int32))),
+                    pa.array([merkle(digests[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                    pa.ListArray.from_arrays(new_at, flat.take(pa.array(new))),
+                    pa.ListArray.from_arrays(new_at, payloads),
                 ],
                 [x.split()[0] for x in schema.split(", ")],
             )
@@ -252,6 +274,19 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     return slim.mapInArrow(run, schema)
 
 
+def token_width(tokenizer: str) -> int:
+    """Bytes that an id of a tokenizer takes."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
+
+
+def stored_width(spark: SparkSession, path: str) -> int:
+    """Bytes that an id of a store takes, by its manifest."""
+    row = spark.read.parquet(f"{path}/manifest").select("width").first()
+    return row[0] if row else 2
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Write the three tables below `path`."""
     spark = docs.sparkSession
@@ -275,10 +310,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     slim = stage(encoded.select("doc_id", "n_tokens", "chunks", "sizes", "root"), "recipes", "zstd")
     placed = prefix_sums(slim, ["doc_id", "root"], "n_tokens", "start")
     placed = placed.withColumnRenamed("weft_bucket", "part")
-    placed.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "start").select("doc_id", "start", "n_tokens", "chunks", "sizes", "root", "part").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    # Parts are ranges of doc_id, so the files are in its order, whatever their number.
+    placed.repartitionByRange("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "start").select("doc_id", "start", "n_tokens", "chunks", "sizes", "root", "part").write.option("compression", "zstd").parquet(f"{path}/recipes")
     drop_path(spark, once)
     recipes = spark.read.parquet(f"{path}/recipes")
-    _roots(recipes).write.option("compression", "zstd").parquet(f"{path}/manifest")
+    width = token_width(tokenizer)
+    _roots(recipes).withColumn("width", F.lit(width)).write.option("compression", "zstd").parquet(f"{path}/manifest")
 
 
 def _roots(recipes: DataFrame) -> DataFrame:
@@ -351,8 +388,9 @@ def _checked_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, "digest binary, n int, crc long")
 
 
-def verify(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def verify(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone; raises where they disagree."""
+    width = stored_width(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "payload", F.lit(width).alias("width"))
     recipes = spark.read.parquet(f"{path}/recipes")
     bad = spark.read.parquet(f"{path}/manifest").alias("m").join(_roots(recipes).alias("r"), "part", "full").where("not (m.root <=> r.root and m.n_docs <=> r.n_docs and m.n_tokens <=> r.n_tokens)")
@@ -389,8 +427,9 @@ def verify(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.when(F.col("found") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a chunk is missing"))).cast("long").alias("ids_crc32"))
 
 
-def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and ids of every document, put together from its chunks."""
+    width = stored_width(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks")
     recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("chunks").alias("seq", "digest"))
 
