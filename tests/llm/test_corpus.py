@@ -546,6 +546,20 @@ def test_decontamination_query(spark):
     assert any(r.contaminated for r in got)
 
 
+def test_decontamination_in_passes(spark, odd, monkeypatch):
+    rng = random.Random(41)
+    items = [(f"i{k}" if k else None, prose(rng, rng.choice([0, 3, 25]))) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = [(k, f"{prose(rng, 20)} {items[k % 40][1].upper()} {prose(rng, 9)} {items[(k + 3) % 40][1]}") for k in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    rows = lambda x: Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in x.collect())
+    want, clean = rows(decontaminate.scan(docs, bench)), decontaminate.clean(docs, bench).count()
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", 100)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
+    assert rows(decontaminate.scan(docs, bench)) == want and sum(n for r, n in want.items() if r[2]) >= 40
+    assert decontaminate.clean(docs, bench).count() == clean
+
+
 # 8: mixing.
 
 
@@ -609,6 +623,33 @@ def test_mixture(spark, odd, empty):
     assert mixing.n_words(F.lit("")) is not None
 
 
+def test_mixture_of_overlapping_sources(spark, monkeypatch):
+    """Shared documents serve the source that lacks words; nothing is repeated while new words are left."""
+    rows = [(k, None, "w " * 50, own) for k, own in enumerate([["a"]] * 40 + [["a", "b"]] * 60 + [["b"]] * 20 + [None, []])]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, own array<string>")
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 7)
+    monkeypatch.setattr(mixing, "MAX_BUCKETS", 3)
+    options = {"weights": (1, 1), "share": Fraction(3, 4)}
+    got = mixing.mixture(docs, F.col("own"), **options).collect()
+    assert len(got) == len(rows)
+    taken = Counter()
+    for r in got:
+        taken[tuple(r.sources)] += r.taken
+        assert r.taken <= r["size"] or not r.taken  # 4500 of 6000 words: no repetition
+    quota = {tuple(r.sources): r.quota for r in got}
+    assert sum(quota.values()) == 4500 and quota["a",] + quota["a", "b"] >= 2250 and quota["b",] + quota["a", "b"] >= 2250
+    assert quota[()] == 0 and all(abs(taken[p] - n) <= 25 for p, n in quota.items())
+    copies = Counter(r.doc_id for r in mixing.mixed(docs, F.col("own"), **options).collect())
+    assert copies == Counter({r.doc_id: r.taken // r["size"] for r in got if r.taken})
+
+
+def test_mixed_takes_of_repeated_rows_what_the_mixture_says(spark):
+    rows = [(k // 3, "a" if k % 2 else "b", "x " * (3 + k // 6)) for k in range(60)] + [(None, "a", "y " * 7)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = sum(r.taken for r in mixing.mixture(docs).collect())
+    assert sum(len(r.text.split()) for r in mixing.mixed(docs).collect()) == want
+
+
 # 9: Jaccard join.
 
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a piece of a task's documents (about 4 MB of whole texts). Its words
+A shard is a piece of a task's documents (about 2 MB of whole texts). Its words
 become symbols: the number of the word in the benchmark's vocabulary, or a
 break. Runs of known words shorter than the shortest window can't hold one
 and are left out, which is exact. Over the rest, a suffix array gives the
@@ -10,15 +10,19 @@ prefix counts per bit of the symbol) and suffix positions at every
 occurrence is located by stepping to a sampled position, and the spans of all
 occurrences are merged.
 
-The benchmark is the query set: it is gathered in blocks of at most
-`BLOCK_WORDS` words, counted beforehand, and each block is broadcast and
-searched in the same pass over the documents. Documents are not shuffled.
+The benchmark is the query set: its words are counted, and parts of at most
+about `PASS_WORDS` of them, in blocks of `BLOCK_WORDS`, are broadcast, each
+for one pass over the documents. Documents are not shuffled, but for the
+numbers that put several passes' results together.
 
 Defined results: null and empty texts have no words, no hits and are clean;
 benchmark items without words have no window; items of fewer than `width`
-words are one window; repeated documents each get their own row, repeated
-items count by their ids, once each; empty tables on either side give an empty
-result or no hits; further columns are ignored, or kept by `clean`.
+words are one window; a null item_id is the name "", which several items may
+share, as any other; repeated documents each get their own row, repeated items
+count by their ids, once each; a window found at several places, or windows
+that tie or overlap, count each word once; a very long text is a shard by
+itself, of about 100 bytes a word in memory; empty tables on either side give
+an empty result or no hits; further columns are ignored, or kept by `clean`.
 """
 
 from __future__ import annotations
@@ -31,11 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as t
+from ._common import ship, stage
 
 WIDTH = 10
 SAMPLE = 8
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_WORDS = 500_000
+#: Words of the benchmark that one pass over the documents searches; their blocks are broadcast together, under 200 MB.
+PASS_WORDS = 2_000_000
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: A-Z to a-z; words are a-z, 0-9 and all beyond ASCII.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -50,25 +58,32 @@ class Phrases:
     """The windows of a block of benchmark items: distinct ones, with the items that have them."""
 
     def __init__(self, items: list[tuple[str, str | None]], width: int):
-        column = pa.array([x[1] for x in items], pa.string())
-        data, offsets = t.buffers(column)
+        self.names = [x[0] for x in items]
+        data, offsets = t.buffers(pa.array([x[1] for x in items], pa.string()))
         data = _LOWER[data]
         starts, ends, at = t.word_spans(data, offsets, _WORD)
         hashes = t.span_hash(data, starts, ends)
         self.vocabulary = np.unique(hashes)  # symbol k + 1 is the word at k; 0 is a break
-        symbols = np.searchsorted(self.vocabulary, hashes).astype(np.int64) + 1
-        windows: dict[tuple, set[str]] = {}
-        for k, (name, _) in enumerate(items):
-            own = symbols[at[k] : at[k + 1]].tolist()
-            for i in range(max(1, len(own) - width + 1) if own else 0):
-                windows.setdefault(tuple(own[i : i + width]), set()).add(name)
-        self.windows = list(windows)
-        self.items = list(windows.values())
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.table = np.zeros((len(self.windows), width), np.int64)  # right-aligned
-        for k, w in enumerate(self.windows):
-            self.table[k, width - len(w) :] = w
-        self.shortest = int(self.lengths.min()) if len(self.windows) else 0
+        symbols = np.searchsorted(self.vocabulary, hashes).astype(np.int32) + 1
+        size = np.diff(at)
+        count = np.where(size > 0, np.maximum(size - width + 1, 1), 0)
+        item = np.repeat(np.arange(len(items)), count)
+        first = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + at[:-1][item]
+        length = np.minimum(size, width)[item]
+        table = np.zeros((len(item), width), np.int32)  # right-aligned
+        for k in range(width):
+            inside = np.flatnonzero(k < length)
+            table[inside, width - length[inside] + k] = symbols[first[inside] + k]
+        self.table, which = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
+        self.lengths = (self.table > 0).sum(axis=1)
+        self.shortest = int(self.lengths.min()) if len(self.table) else 0
+        # The items of each window, each once.
+        pairs = np.unique(which.ravel() * np.int64(len(items) + 1) + item)
+        self.owner = pairs % (len(items) + 1)
+        self.begin = np.searchsorted(pairs // (len(items) + 1), np.arange(len(self.table) + 1))
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[k] for k in self.owner[self.begin[window] : self.begin[window + 1]].tolist()]
 
 
 class WaveletMatrix:
@@ -161,7 +176,7 @@ class FMIndex:
 def occurrences(word: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     """(first word, window) of every occurrence; word: hashes of a shard's words, at: offsets of its documents."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(word) or not phrases.windows:
+    if not len(word) or not len(phrases.table):
         return none
     k = np.minimum(np.searchsorted(phrases.vocabulary, word), len(phrases.vocabulary) - 1)
     known = phrases.vocabulary[k] == word
@@ -189,25 +204,45 @@ def occurrences(word: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.
     return where[index.locate(rows)], np.repeat(hit, n[hit])
 
 
-def blocks(benchmark: DataFrame, width: int) -> list[Phrases]:
-    """The benchmark in blocks of bounded size; the rows come to the driver one partition at a time."""
+def _parts(benchmark: DataFrame) -> list[DataFrame]:
+    """The benchmark in parts of about PASS_WORDS words, one for each pass over the documents."""
+    slim = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    words = F.regexp_count(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORDS))
+    total = slim.agg(F.sum(words)).first()[0] or 0
+    n = max(1, -(-total // PASS_WORDS))
+    return [slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _shared(part: DataFrame, width: int) -> list:
+    """One part as broadcast blocks of bounded size; its rows come to the driver one partition at a time."""
+    sc = part.sparkSession.sparkContext
     out, items, words = [], [], 0
-    slim = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    for r in slim.toLocalIterator():
-        items.append((r[0] if r[0] is not None else "", r[1]))
-        words += len((r[1] or "").split()) + 1
+
+    def close() -> None:
+        block = Phrases(items, width)
+        if len(block.table):
+            out.append(sc.broadcast(block))
+
+    for r in part.toLocalIterator():
+        data = _LOWER[np.frombuffer((r[1] or "").encode(), np.uint8)]
+        items.append((r[0], r[1]))
+        words += len(t.word_spans(data, np.array([0, len(data)]), _WORD)[0])
         if words >= BLOCK_WORDS:
-            out.append(Phrases(items, width))
+            close()
             items, words = [], 0
     if items:
-        out.append(Phrases(items, width))
-    return [x for x in out if x.windows]
+        close()
+    return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """What of the benchmark each document holds, see SCHEMA; spans are of words, merged."""
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(x) for x in blocks(benchmark, width)]
+def _spans(hit: np.ndarray) -> list[dict[str, int]]:
+    step = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    return [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
+
+
+def _pass(docs: DataFrame, part: DataFrame, width: int) -> DataFrame:
+    """SCHEMA of the rows (doc_id, text) against one part of the benchmark."""
+    shared = _shared(part, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in t.slices(batches, "text", SHARD_BYTES):
@@ -223,14 +258,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
                 lengths.append(b.value.lengths[window])
                 doc = np.searchsorted(at, first, "right") - 1
                 for d, w in np.unique(np.stack([doc, window], 1), axis=0).tolist() if len(doc) else []:
-                    found[d] |= b.value.items[w]
+                    found[d].update(b.value.items(w))
             hit = t.covered(np.concatenate(firsts), np.concatenate(lengths), len(word))
             n_hit = t.per_document(hit, at)
-            spans: list[list] = [[] for _ in range(n)]
-            for d in np.flatnonzero(n_hit).tolist():
-                own = np.concatenate([[0], hit[at[d] : at[d + 1]].astype(np.int8), [0]])
-                step = np.diff(own)
-                spans[d] = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
+            spans = [_spans(hit[at[d] : at[d + 1]]) if n_hit[d] else [] for d in range(n)]
             names = [sorted(x) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -241,27 +272,63 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
                     pa.array(names, pa.list_(pa.string())),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items", "spans"],
+                [c.split()[0] for c in ("doc_id", "n_words", "n_hit", "n_items", "items", "spans")],
             )
 
+    return docs.mapInArrow(run, SCHEMA)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """What of the benchmark each document holds, see SCHEMA; spans are of words, merged."""
+    ship(docs.sparkSession)
+    parts = _parts(benchmark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, SCHEMA)
+    if len(parts) == 1:
+        return _pass(slim, parts[0], width)
+    # Several passes: rows get a number, and what the passes find of one row is put together.
+    numbered = stage(slim.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+    passes = [stage(_pass(numbered.select(F.col("row").alias("doc_id"), "text"), part, width).where(f"n_hit > 0 or {k} = 0"), "decontaminate") for k, part in enumerate(parts)]
+    every = passes[0]
+    for x in passes[1:]:
+        every = every.unionByName(x)
+    merged = every.groupBy(F.col("doc_id").alias("row")).agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        _union(F.flatten(F.collect_list("spans"))).alias("spans"),
+    )
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    out = numbered.select("row", "doc_id").join(merged, "row")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+
+
+def _union(spans):
+    """Spans sorted and merged."""
+
+    def add(out, x):
+        last = F.try_element_at(out, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(longer))
+        return F.when((F.size(out) > 0) & (x["start"] <= F.try_element_at(out, F.lit(-1))["end"]), joined).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), add)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of `docs`, all columns, that hold no window of the benchmark."""
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(x) for x in blocks(benchmark, width)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in t.slices(batches, "text", SHARD_BYTES):
-            data = _LOWER[data]
-            starts, ends, at = t.word_spans(data, offsets, _WORD)
-            word = t.span_hash(data, starts, ends)
-            good = np.ones(rows.num_rows, bool)
-            for b in shared:
-                first, _ = occurrences(word, at, b.value)
-                good[np.searchsorted(at, first, "right") - 1] = False
-            yield rows.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+    ship(docs.sparkSession)
+    for part in _parts(benchmark):
+        shared = _shared(part, width)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for rows, data, offsets in t.slices(batches, "text", SHARD_BYTES):
+                data = _LOWER[data]
+                starts, ends, at = t.word_spans(data, offsets, _WORD)
+                word = t.span_hash(data, starts, ends)
+                good = np.ones(rows.num_rows, bool)
+                for b in shared:
+                    first, _ = occurrences(word, at, b.value)
+                    good[np.searchsorted(at, first, "right") - 1] = False
+                yield rows.filter(pa.array(good))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
