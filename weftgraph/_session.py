@@ -30,7 +30,7 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
     # Texts are long: what goes to a Python worker at once is bounded by bytes, not only by rows.
     if spark.conf.get(_ARROW_BYTES, None) in (None, "", "-1", str(2**63 - 1), "67108864", "64MB", "64m"):
-        spark.conf.set(_ARROW_BYTES, str(8 << 20))
+        spark.conf.set(_ARROW_BYTES, str(4 << 20))
     sc._weftgraph_shipped = True
 
 
