@@ -167,12 +167,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches so that a piece has about `max_bytes` of text, or one longer text; yields rows, bytes, offsets."""
     for batch in batches:
-        release()
         data, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
         n, i = batch.num_rows, 0
         while i < n:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + max_bytes, "right")) - 1)
             j = min(j, n)
+            release()
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
 

@@ -50,8 +50,8 @@ END_ID = 1
 #: Rolling window, mean chunk (a power of two) and longest chunk, in ids.
 WINDOW, MEAN, LONGEST = 16, 512, 4096
 _ROLL = 0x9E3779B97F4A7C15
-#: Bytes of pieces and ids that a task keeps, about.
-CACHE_BYTES = 32 << 20
+#: So many pieces of late are kept, and as many before; one piece of text adds its own.
+CACHE_PIECES = 100_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 1: ASCII letters; 2: ASCII marks that neither compose with what follows nor belong to a special token.
@@ -132,9 +132,27 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.held = 0
-        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # Ids of pieces, by their bytes: those of late, and those before, of which what is met again is kept.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def known(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if len(self.young) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    new.append(k)
+        if new:
+            flat, size = self.words([k.decode() for k in new])
+            raw, ends = flat.tobytes(), np.cumsum(size * 4).tolist()
+            young.update(zip(new, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        return [young[k] for k in keys]
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces, flat, and how many each has; words of Latin letters need only be spelt as bytes for the model."""
@@ -161,20 +179,11 @@ class Encoder:
         one, which = t.span_numbers(data, starts, ends)
         raw = data.tobytes()
         keys = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-        new = [k for k in keys if k not in self.slots]
-        if new:
-            if self.held > CACHE_BYTES:
-                self.reset()
-                new = keys
-            flat, size = self.words([k.decode() for k in new])
-            self.slots.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-            self.held += sum(map(len, new)) + 100 * len(new) + 4 * len(flat)
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-            self.flat = np.concatenate([self.flat, flat])
-            self.size = np.concatenate([self.size, size])
-        place = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+        got = self.known(keys)
+        flat = np.frombuffer(b"".join(got), np.int32)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
         n = len(offsets) - 1
-        per_word = self.size[place][which] if len(which) else np.zeros(0, np.int64)
+        per_word = size[which] if len(which) else np.zeros(0, np.int64)
         total = np.zeros(len(per_word) + 1, np.int64)
         np.cumsum(per_word, out=total[1:])
         bounds = total[at] + np.arange(n + 1)  # an end id for each document before
@@ -183,8 +192,8 @@ class Encoder:
         is_end[bounds[1:] - 1] = True
         out[is_end] = END_ID
         if len(per_word):
-            begin = self.begin[place][which]
-            out[~is_end] = self.flat[np.repeat(begin - total[:-1], per_word) + np.arange(total[-1])]
+            begin = (np.cumsum(size) - size)[which]
+            out[~is_end] = flat[np.repeat(begin - total[:-1], per_word) + np.arange(total[-1])]
         return out, bounds
 
 
@@ -236,7 +245,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         encoder = Encoder(tokenizer)
         kind = np.dtype(f"<u{encoder.width}")
         given: set[bytes] = set()
-        for rows, data, offsets in t.slices(batches, "text", 3 << 19):
+        for rows, data, offsets in t.slices(batches, "text", 1 << 20):
             ids, bounds = encoder(data, offsets)
             ends = cut(ids, bounds)
             raw = memoryview(ids.astype(kind).tobytes())
@@ -247,7 +256,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             fresh = np.zeros(len(digests), bool)
             for k, x in enumerate(digests):
                 if x not in given:
-                    if len(given) > 200_000:  # then some are given again; the store keeps one
+                    if len(given) > 50_000:  # then some are given again; the store keeps one
                         given.clear()
                     given.add(x)
                     fresh[k] = True
