@@ -14,17 +14,18 @@ from pyspark.sql import functions as F
 
 from .._session import stage, stage_counted
 from ..plans.graph import BuildGraph, spliced
-from .closure import closure
+from .closure import _few, _like, _one_task, closure, newest_behind
 
 
 @dataclass(frozen=True)
 class Scan:
-    """graph: with recorded dependencies spliced in; edges: edge_id, dirty, ready, deps_missing, reason; nodes: path, mtime, exists, dirty."""
+    """graph: with recorded dependencies spliced in; edges: edge_id, dirty, ready, deps_missing, reason; nodes: path, mtime, exists, dirty; links: src, dst between statements, written once."""
 
     graph: BuildGraph
     edges: DataFrame
     nodes: DataFrame
     local: DataFrame
+    links: DataFrame
 
 
 def recorded_inputs(g: BuildGraph) -> tuple[DataFrame, DataFrame]:
@@ -66,21 +67,26 @@ def depfile_errors(g: BuildGraph) -> DataFrame:
     return read.select("edge_id", F.explode(F.slice("outs", F.lit(2), F.greatest(F.size("outs") - 1, F.lit(0)))).alias("path")).join(g.edge_outputs.select("edge_id", "path"), ["edge_id", "path"], "left_anti")
 
 
-def seen_mtimes(g: BuildGraph, max_rounds: int = 1000) -> DataFrame:
+def seen_mtimes(g: BuildGraph) -> DataFrame:
     """(path, mtime): a missing output of a phony statement has the newest time among what stands behind it."""
     files = g.files.select("path", "mtime")
     phony = g.edges.where("is_phony").select("edge_id")
     hidden = g.edge_outputs.join(phony, "edge_id").join(files.select("path"), "path", "left_anti").select("edge_id", F.col("path").alias("out"))
     behind = hidden.join(g.edge_inputs.where("kind <> 'order_only'").select("edge_id", "path"), "edge_id").select("out", "path").distinct()
-    behind = stage(behind, "phony")
+    behind, n = stage_counted(behind, "phony")
+    if not n:
+        return files
+    if _few(2 * n):
+        links = behind.select(F.col("out").alias("src"), F.col("path").alias("dst"))
+        own = files.join(behind.select("path").distinct(), "path").select(F.col("path").alias("node"), F.col("mtime").alias("value"))
+        return files.unionByName(stage(_one_task(links, own, _like("path", files, "path", "mtime"), newest_behind), "mtimes"))
     seen = stage(files, "mtimes")
-    for _ in range(max_rounds):
+    while True:  # times only grow, up to the newest there is
         now = behind.join(seen, "path").groupBy(F.col("out").alias("path")).agg(F.max("mtime").alias("mtime")).where("mtime > 0")
         fresh, n = stage_counted(now.join(seen, ["path", "mtime"], "left_anti"), "mtimes")
         if not n:
             return seen
         seen = stage(seen.join(fresh.select("path"), "path", "left_anti").unionByName(fresh.select("path", "mtime")), "mtimes")
-    raise RuntimeError("seen_mtimes: phony statements in a circle")
 
 
 def newest_inputs(g: BuildGraph, seen: DataFrame) -> DataFrame:
@@ -163,7 +169,7 @@ def scan(g: BuildGraph) -> Scan:
     made = g.edge_outputs.join(edges.where("dirty").select("edge_id"), "edge_id").select("path").unionByName(absent).withColumn("dirty", F.lit(True)).distinct()
     nodes = g.paths().join(seen, "path", "left").join(g.files.select("path", F.lit(True).alias("exists")), "path", "left").join(made, "path", "left")
     nodes = nodes.select("path", F.coalesce("mtime", F.lit(0)).alias("mtime"), F.coalesce("exists", F.lit(False)).alias("exists"), F.coalesce("dirty", F.lit(False)).alias("dirty"))
-    return Scan(g, edges, nodes, local)
+    return Scan(g, edges, nodes, local, links.select("src", "dst"))
 
 
 def explanations(s: Scan) -> DataFrame:

@@ -16,7 +16,7 @@ def wanted(s: Scan, targets: DataFrame) -> DataFrame:
     and not being ready can be decided apart.
     """
     first = s.graph.edge_outputs.join(targets.select("path"), "path").select(F.col("edge_id").alias("node")).distinct()
-    reach = closure(first, reverse(s.graph.links()))
+    reach = closure(first, reverse(s.links))
     late = s.edges.where("not ready").select(F.col("edge_id").alias("node"), "dirty")
     return reach.join(late, "node").select(F.col("node").alias("edge_id"), F.when(F.col("dirty"), "to_start").otherwise("nothing").alias("want"))
 

@@ -39,14 +39,10 @@ def source_inputs(g: BuildGraph) -> DataFrame:
     return g.edge_inputs.select("edge_id", "pos", "path").join(g.edge_outputs.select("path"), "path", "left_anti").select("edge_id", "pos", "path")
 
 
-def targets_by_depth(g: BuildGraph, roots: DataFrame, depth: int, most: int = 10_000) -> DataFrame:
+def targets_by_depth(g: BuildGraph, roots: DataFrame, depth: int) -> DataFrame:
     """(root, place, level, path, rule): the tree below roots (path) to `depth` levels (none: to the leaves); a path comes once for every way to it."""
     needs = g.edge_outputs.select("edge_id", F.col("path").alias("src")).join(g.edge_inputs.select("edge_id", "pos", F.col("path").alias("dst")), "edge_id").select("src", "pos", "dst")
-    if depth <= 0:
-        made = g.edge_outputs.select(F.col("path").alias("node")).distinct()
-        deepest = levels(made, needs.select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(made.select(F.col("node").alias("src")), "src", "left_semi")).agg(F.max("level")).first()[0]
-        depth = min(most, int(deepest or 0) + 2)
-    tree = unfold(roots.select(F.col("path").alias("root"), F.col("path").alias("node")), needs, depth)
+    tree = unfold(roots.select(F.col("path").alias("root"), F.col("path").alias("node")), needs, depth if depth > 0 else None)
     rule = targets_all(g).select(F.col("path").alias("node"), "rule")
     return tree.join(rule, "node", "left").select("root", "place", "level", F.col("node").alias("path"), F.coalesce("rule", F.lit("")).alias("rule"))
 
@@ -60,7 +56,7 @@ def rules(g: BuildGraph) -> DataFrame:
 def scope_values(g: BuildGraph) -> DataFrame:
     """(scope_id, key, value) as each scope sees its variables: its own, or the nearest outer scope's."""
     up = g.scopes.where("parent_id is not null").select(F.col("scope_id").alias("src"), F.col("parent_id").alias("dst"))
-    far = unfold(g.scopes.select(F.col("scope_id").alias("root"), F.col("scope_id").alias("node")), up.select("src", F.lit(0).alias("pos"), "dst"), 64)
+    far = unfold(g.scopes.select(F.col("scope_id").alias("root"), F.col("scope_id").alias("node")), up.select("src", F.lit(0).alias("pos"), "dst"), None)
     seen = far.join(g.scope_bindings, F.col("node") == F.col("scope_id")).groupBy(F.col("root").alias("scope_id"), "key").agg(F.min_by("value", "level").alias("value"))
     return seen
 

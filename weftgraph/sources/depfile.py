@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,92 +10,76 @@ from pyspark.sql import functions as F
 
 SCHEMA = "struct<outs:array<string>,ins:array<string>,error:string>"
 
-_PLAIN = re.compile(rb"[a-zA-Z0-9+?'\"&,/_:.~()}{%=@\[\]!\x80-\xff\-]+")
+# The grammar: a text is lines of names, and a name is pieces up to a gap. A backslash escapes a space or a mark only if it
+# is the last of its run; what it doesn't escape it stands for. Values are of bytes, as file names are.
+_PIECES = rb"""
+    (?P<quoted_space> (?:\\\\)* \\\x20 )
+  | (?P<odd_end>      \\+ (?=\x20) )
+  | (?P<hash>         \\+ \# )
+  | (?P<target_end>   \\+ : (?=[\x00\x20\r\n\t]) [\x00\x20\r\t]? )
+  | (?P<colon>        \\+ : )
+  | (?P<joined>       \\ (?: \r?\n | (?=[\x00\r]) | \Z ) )
+  | (?P<slashes>      \\\\+ (?=[\x00\r\n]|\Z) )
+  | (?P<other>        \\+ [^\\\x20\#:\x00\r\n] )
+  | (?P<dollar>       \$\$ )
+  | (?P<plain>        [a-zA-Z0-9+?'"&,/_:.~()}{%=@\[\]!\x80-\xff\-]+ )
+  | (?P<line_end>     \r?\n )
+  | (?P<gap>          . )
+"""
+_TOKEN = re.compile(_PIECES, re.VERBOSE | re.DOTALL)
+#: What a piece adds to a name; the others end it.
+_VALUE = {
+    "quoted_space": lambda x: x[: len(x) // 2 - 1] + b" ",
+    "hash": lambda x: x[:-2] + b"#",
+    "colon": lambda x: x[:-2] + b":",
+    "slashes": bytes,
+    "other": bytes,
+    "dollar": lambda x: b"$",
+    "plain": bytes,
+}
 
 
-def _names(content: bytes) -> Iterator[tuple[bytes, bool]]:
-    """(name, whether a line ended with it), empty names included."""
-    name, at, n = bytearray(), 0, len(content)
-    while at < n:
-        c = content[at]
-        if c == 0x5C:
-            run = len(content[at:]) - len(content[at:].lstrip(b"\\"))
-            after = content[at + run : at + run + 1]
-            if after == b" ":
-                # Pairs stand for themselves unless one is left to escape the space.
-                if run % 2:
-                    name += b"\\" * (run // 2) + b" "
-                    at += run + 1
-                    continue
-                name += b"\\" * run
-                at += run + 1
-            elif after == b"#":
-                name += b"\\" * (run - 1) + b"#"
-                at += run + 1
-                continue
-            elif after == b":":
-                follow = content[at + run + 1 : at + run + 2]
-                if follow not in (b"\0", b" ", b"\r", b"\n", b"\t"):
-                    name += b"\\" * (run - 1) + b":"
-                    at += run + 1
-                    continue
-                name += content[at : at + run + 1]
-                at += run + 2
-                yield bytes(name), follow == b"\n"
-                name.clear()
-                continue
-            elif after in (b"", b"\0", b"\r", b"\n"):
-                if run > 1:
-                    name += b"\\" * run
-                    at += run
-                    continue
-                joined = re.match(rb"\\\r?\n", content[at : at + 3])
-                at += joined.end() if joined else 1
-            else:
-                name += content[at : at + run + 1]
-                at += run + 1
-                continue
-            yield bytes(name), False
-            name.clear()
+def lines(content: bytes) -> list[list[bytes]]:
+    """The names of each line; a backslash at its end joins a line to the next."""
+    out: list[list[bytes]] = [[]]
+    name = b""
+    for m in _TOKEN.finditer(content):
+        kind, text = m.lastgroup, m[0]
+        if kind in _VALUE:
+            name += _VALUE[kind](text)
             continue
-        if content[at : at + 2] == b"$$":
-            name += b"$"
-            at += 2
-            continue
-        if m := _PLAIN.match(content, at):
-            name += m[0]
-            at = m.end()
-            continue
-        m = re.compile(rb"\r?\n").match(content, at)
-        at = m.end() if m else at + 1
-        yield bytes(name), bool(m)
-        name.clear()
+        if kind in ("odd_end", "target_end"):
+            name += text.rstrip(b"\0 \r\t")
+        if name and kind != "odd_end":
+            out[-1].append(name)
+            name = b""
+        if kind == "line_end":
+            out.append([])
     if name:
-        yield bytes(name), False
+        out[-1].append(name)
+    return [x for x in out if x]
 
 
 def parse(content: bytes) -> tuple[list[str], list[str]]:
-    """(outs, ins) of a depfile, each name once and in order; ValueError for what isn't one."""
+    """(outs, ins) of a depfile, each name once and in order; ValueError for what isn't one.
+
+    A line names targets up to the first name that ends with a colon, then
+    their inputs. A line without a colon goes on with targets. An input may
+    stand as a target too, with no inputs of its own but known ones.
+    """
     outs: dict[bytes, None] = {}
     ins: dict[bytes, None] = {}
-    left, bad, any_target, any_name = True, False, False, False
-    for name, ends_line in _names(content):
-        right = not left
-        if name.endswith(b":"):
-            name, left, any_target = name[:-1], False, True
-        if name:
-            any_name = True
-            if name in ins:
-                bad = bad or not right  # an input that has inputs: allowed if those are known
-            elif right:
-                if bad:
-                    raise ValueError("inputs may not also have inputs")
-                ins[name] = None
-            else:
-                outs[name] = None
-        if ends_line:
-            left, bad = True, False
-    if any_name and not any_target:
+    rules = lines(content)
+    for names in rules:
+        cut = next((k for k, x in enumerate(names) if x.endswith(b":")), len(names) - 1)
+        targets = [x.removesuffix(b":") for x in names[: cut + 1]]
+        known = [x for x in targets if x and x in ins]
+        outs |= dict.fromkeys(x for x in targets if x and x not in ins)
+        fresh = [y for x in names[cut + 1 :] if (y := x.removesuffix(b":")) and y not in ins]
+        if known and fresh:
+            raise ValueError("inputs may not also have inputs")
+        ins |= dict.fromkeys(fresh)
+    if any(x.strip(b":") for names in rules for x in names) and not any(x.endswith(b":") for names in rules for x in names):
         raise ValueError("expected ':' in depfile")
     return [x.decode() for x in outs], [x.decode() for x in ins]
 
