@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.operators import clean, closure, dirty, history, planning, tools
 from weftgraph.plans.graph import BuildGraph
@@ -237,3 +238,47 @@ def test_progress(spark):
     assert [r.rate for r in rates] == [-1.0, 5.0]
     results = spark.createDataFrame([(1, 0, 5), (2, 3, 5), (3, 4, 5), (4, 0, 5)], "seq long, code int, duration_ms long")
     assert tuple(history.build_summary(results).first()) == (4, 2, 20, 4)
+
+
+def test_deep_chains(spark):
+    """Chains of 2,000 and of 60,000 statements."""
+    for n in (2_000, 60_000):
+        nodes = spark.range(n).select(F.col("id").alias("node"), F.lit(1).alias("weight"))
+        links = nodes.where(f"node < {n - 1}").select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst"))
+        assert closure.closure(nodes.where("node = 0").select("node"), links).count() == n
+        cost = closure.longest_paths(nodes, links)
+        assert cost.where(f"cost = {n} - node").count() == n
+        assert closure.cyclic(nodes, links).count() == 0
+    with pytest.raises(Exception, match="a circle"):
+        closure.longest_paths(nodes, links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+
+
+def test_deep_tree_is_judged(spark):
+    n = 2_000
+    text = "rule r\n  command = r $in $out\n" + "".join(f"build f{k + 1}: r f{k}\n" for k in range(n))
+    g = BuildGraph.from_text(spark, text, files=spark.createDataFrame([("f0", 5)] + [(f"f{k + 1}", 7 + k) for k in range(n)], "path string, mtime long"))
+    assert dirty.scan(g).edges.where("dirty").count() == 0
+    g = g.with_(files=g.files.where("path <> 'f3'"))
+    s = dirty.scan(g)
+    assert s.edges.where("dirty").count() == n - 2
+    assert planning.wanted(s, spark.createDataFrame([(f"f{n}",)], "path string")).count() == n - 2
+
+
+def test_rounds_and_one_task_agree(spark, monkeypatch):
+    rng = random.Random(77)
+    for k in range(2):
+        pairs = [(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(45)) if a < b or (k and rng.random() < 0.1)]
+        links = spark.createDataFrame(pairs, "src long, dst long")
+        nodes = spark.range(30).select(F.col("id").alias("node"), (F.col("id") % 3).alias("weight"))
+        seeds = nodes.where("node < 3").select("node")
+
+        def results(links=links, nodes=nodes, seeds=seeds, k=k):
+            out = [closure.closure(seeds, links), closure.cyclic(nodes, links)]
+            out += [] if k else [closure.longest_paths(nodes, links)]
+            return [sorted(map(tuple, x.collect())) for x in out]
+
+        monkeypatch.setattr(closure, "ONE_TASK", 1_000_000)
+        want = results()
+        monkeypatch.setattr(closure, "ONE_TASK", -1)
+        monkeypatch.setattr(closure, "MERGE_EVERY", 2)
+        assert results() == want

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -11,11 +12,17 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPING = threading.Lock()
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, wherever they run; once per session."""
+    with _SHIPPING:  # tables are written side by side
+        _ship(spark)
+
+
+def _ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_weftgraph_shipped", False):
         return
