@@ -1,19 +1,22 @@
 """Licence scan: a trained classifier of paragraphs, confirmed by templates.
 
-Every line of every text is a paragraph. The presence of word 1- to 3-grams
-(by 64-bit hash) goes into a multinomial logistic regression over the licence
-families and "none". It is trained on the driver from the templates below,
-varied by a seeded generator (words dropped, years and holders, text around
-them), against at most SAMPLE lines of the corpus as "none" (those with the
-least hash; the bound is the parameter `sample`). A temperature, set on
-held-out variants, calibrates the probabilities; a paragraph whose best family
-stays below MIN_PROBABILITY is of an unknown licence or none and not put out.
-A finding is confirmed by its templates: the largest share of a template's
-word bigrams that the paragraph has.
+Lines, and paragraphs of several lines, are judged. The presence of word 1- to
+3-grams (by 64-bit hash) goes into a multinomial logistic regression over the
+licence families, "unknown" for notices that name any other licence, and
+"none". It is trained on the driver from the templates below, varied by a
+seeded generator (words dropped, years and holders, text around them, made-up
+names for unknown licences), against at most SAMPLE whole lines of the corpus,
+of SAMPLE_BYTES together, as "none" (those with the least hash; the bound is
+the parameter `sample`). A temperature, set on held-out variants, calibrates
+the probabilities. What is a licence by MIN_PROBABILITY but of no family by as
+much is put out as "unknown". A finding is confirmed by its templates: the
+largest share of a template's word bigrams that the paragraph has.
 
 Texts are scored where they lie, without a shuffle; only lines with features
 that carry weight are looked at in full.
 
+A very long line or text is scored whole, in about 60 times its size of memory.
+
 Defined results: null and empty texts have no paragraphs; repeated rows and
 repeated lines each give their findings; where two families are equally
 probable the first in the list is named; an empty table gives an empty result;
@@ -27,15 +30,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._common import least_hashed
+from ._common import least_hashed, ship
 
 #: Bits of the filter that passes over n-grams without a weight.
 BITS = 16
 SAMPLE = 4000
+SAMPLE_BYTES = 16 << 20
 MIN_PROBABILITY = 0.6
 MIN_TEMPLATE = 0.5
 
@@ -88,7 +92,14 @@ DECOYS = [
     "This work is under way and will be released", "The conditions are met and the source is known", "Version 2.0 of the work was released to the public", "All rights to the file are held by the author",
     "A person may copy the file without restriction", "The creative work of the commons is free", "The Apache helicopter was licensed to fly", "He studied at MIT under a general",
 ]
+#: Notices that name a licence which is not listed, with a made-up name in its place: class "unknown".
+UNLISTED = [
+    "Licensed under the {} License", "Licensed under the {} License, Version 1.0", "Licensed under the {} Public License, version 1.2", "This work is licensed under the {} license", "Released under the {} License 2.0",
+    "SPDX-License-Identifier: {}-1.0", "SPDX-License-Identifier: {}", "This program is made available under the terms of the {} Public License 2.0", "Distributed under the {} Software License, Version 1.0", "This file is subject to the {} License agreement",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "Use of this software is governed by the {} license terms",
+]
 FAMILIES = list(TEMPLATES)
+UNKNOWN = len(FAMILIES)  # the next class; the last one is "none"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -163,10 +174,11 @@ class Model:
 def variants(rng: np.random.Generator, each: int = 24) -> tuple[list[str], list[int]]:
     """Seeded variants of the templates and decoys."""
     lines, classes = [], []
-    for c, texts in [*enumerate(TEMPLATES.values()), (len(FAMILIES), DECOYS)]:
+    for c, texts in [*enumerate(TEMPLATES.values()), (UNKNOWN, UNLISTED), (UNKNOWN + 1, DECOYS)]:
         for text in texts:
-            parts = text.split()
             for k in range(each):
+                name = " ".join("".join(rng.choice(list("bdfgklmnprstvz")) + rng.choice(list("aeiou")) for _ in range(int(rng.integers(2, 4)))).capitalize() for _ in range(int(rng.integers(1, 3))))
+                parts = text.format(name).split()
                 own = [w for w in parts if k == 0 or len(parts) < 6 or rng.random() > 0.06]
                 if k % 3 == 1:
                     own = ["Copyright", "(c)", str(int(rng.integers(1990, 2030))), *own]
@@ -178,7 +190,7 @@ def variants(rng: np.random.Generator, each: int = 24) -> tuple[list[str], list[
 
 
 def fit(lines: list[str], classes: list[int], seed: int = 7, steps: int = 200, l2: float = 1e-5) -> Model:
-    n, k = len(lines), len(FAMILIES) + 1
+    n, k = len(lines), UNKNOWN + 2
     y = np.array(classes)
     place, owner, _ = ngrams(*_flat(lines))
     # Only what occurs in a notice or decoy can carry weight; the rest of a line says "none" by the bias.
@@ -219,10 +231,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
     """Fit on the templates' variants and at most `sample` lines of the corpus without a notice's key words."""
     lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).where("length(trim(line)) > 0")
     lines = lines.where(~F.lower("line").rlike(r"licen[sc]|copyright|public domain|all rights reserved"))
-    line = F.substr("line", F.lit(1), F.lit(2000))  # of training lines only
-    few = [r[0] for r in least_hashed(lines.select(line.alias("line")), ["line"], sample).orderBy("line").collect()]
+    # Whole lines, and of those so many that they come to SAMPLE_BYTES.
+    chosen = least_hashed(lines.select("line"), ["line"], sample).withColumn("h", F.xxhash64("line"))
+    chosen = chosen.withColumn("sum", F.sum(F.octet_length("line")).over(Window.orderBy("h", "line").rowsBetween(Window.unboundedPreceding, 0)))  # `sample` rows at most
+    few = [r[0] for r in chosen.where(F.col("sum") <= SAMPLE_BYTES).orderBy("line").select("line").collect()]
     made, classes = variants(np.random.default_rng(seed))
-    return fit(made + few, classes + [len(FAMILIES)] * len(few), seed)
+    return fit(made + few, classes + [UNKNOWN + 1] * len(few), seed)
 
 
 def _bigrams(text: str) -> set:
@@ -234,38 +248,73 @@ def _bigrams(text: str) -> set:
     return set(zip(ws, ws[1:], strict=False)) or {(w,) for w in ws}
 
 
+def _findings(data: np.ndarray, bounds: np.ndarray, model: Model, known: dict[str, list[set]], min_probability: float) -> list[tuple[int, str, float, float]]:
+    """(paragraph, family, probability, share of the closest template) of the paragraphs that are licences."""
+    n = len(bounds) - 1
+    place, line, _ = ngrams(data, bounds)
+    p = model.probabilities(place, line, n)
+    best = p[:, :-1].argmax(1)
+    some = np.zeros(n, bool)
+    some[line] = True
+    out = []
+    for i in np.flatnonzero((1 - p[:, -1] >= min_probability) & some).tolist():
+        family = FAMILIES[best[i]] if best[i] < UNKNOWN and p[i, best[i]] >= min_probability else "unknown"
+        own = _bigrams(data[bounds[i] : bounds[i + 1]].tobytes().decode(errors="replace"))
+        templates = known[family] if family in known else [x for every in known.values() for x in every]
+        out.append((i, family, float(p[i, best[i]] if family in known else 1 - p[i, -1]), max(len(own & x) / len(x) for x in templates)))
+    return out
+
+
 def scan(docs: DataFrame, model: Model, min_probability: float = MIN_PROBABILITY, min_template: float = MIN_TEMPLATE) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, template (share of the closest one) and confirmed, of every finding."""
+    """doc_id, paragraph and last (its first and last line, from 0), family or unknown, probability, template (share of the closest one) and confirmed, of every finding.
+
+    Lines are judged by themselves, and so are all paragraphs of several lines;
+    a paragraph that fits a template better than each of its lines stands for them.
+    """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the n-grams of the templates, whatever the corpus
     known = {f: [_bigrams(x) for x in texts] for f, texts in TEMPLATES.items()}
-    schema = "doc_id long, paragraph int, family string, probability double, template double, confirmed boolean"
+    schema = "doc_id long, paragraph int, last int, family string, probability double, template double, confirmed boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in t.slices(batches, "text"):
             n = rows.num_rows
-            # Paragraphs of all documents, one after the other.
-            starts = np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1])
-            owner = np.concatenate([np.arange(n), np.searchsorted(offsets, np.flatnonzero(data == 10), "right") - 1])
+            # Lines of all documents, one after the other, and the paragraphs between blank ones.
+            feeds = np.flatnonzero(data == 10)
+            starts = np.concatenate([offsets[:-1], feeds + 1])
+            owner = np.concatenate([np.arange(n), np.searchsorted(offsets, feeds, "right") - 1])
             by = np.lexsort((starts, owner))
             starts, owner = starts[by], owner[by]
             bounds = np.append(starts, len(data))
-            place, line, _ = ngrams(data, bounds)
-            p = shared.value.probabilities(place, line, len(starts))
-            best = p[:, :-1].argmax(1)
-            found = np.flatnonzero((p[np.arange(len(p)), best] >= min_probability) & (p.argmax(1) < len(FAMILIES)) & np.isin(np.arange(len(p)), line))
-            first = np.searchsorted(owner, np.arange(n))
-            closest = []
-            for i in found.tolist():
-                own = _bigrams(data[bounds[i] : bounds[i + 1]].tobytes().decode(errors="replace"))
-                closest.append(max(len(own & x) / len(x) for x in known[FAMILIES[best[i]]]))
+            words = np.concatenate([[0], np.cumsum(t.NOT_SPACE[data])])
+            blank = words[bounds[1:]] == words[bounds[:-1]]
+            first_line = np.searchsorted(owner, np.arange(n))
+            begins = np.ones(len(starts), bool)
+            begins[1:] = (owner[1:] != owner[:-1]) | blank[:-1]
+            head = np.flatnonzero(begins)
+            tail = np.append(head[1:], len(starts)) - 1
+            found = [(i, i, *x) for i, *x in _findings(data, bounds, shared.value, known, min_probability)]
+            lines = {i: x for i, _, *x in found}
+            several = tail - head - blank[tail] > 0
+            for k, *x in _findings(data, np.append(starts[head], len(data)), shared.value, known, min_probability):
+                if several[k]:
+                    a, b = int(head[k]), int(tail[k] - blank[tail[k]])
+                    mine = [lines[i] for i in range(a, b + 1) if i in lines]
+                    if x[2] > max((y[2] for y in mine), default=-1.0) and (x[0] != "unknown" or not mine):
+                        found = [y for y in found if not a <= y[0] <= b] + [(a, b, *x)]
+            found.sort(key=lambda x: x[0])
+            first = np.array([x[0] for x in found], np.int64)
+            last = np.array([x[1] for x in found], np.int64)
+            own = owner[first] if len(first) else first
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column(0).take(pa.array(owner[found])),
-                    pa.array((found - first[owner[found]]).astype(np.int32)),
-                    pa.array([FAMILIES[best[i]] for i in found.tolist()], pa.string()),
-                    pa.array(p[found, best[found]].astype(float)),
-                    pa.array(closest, pa.float64()),
-                    pa.array([x >= min_template for x in closest], pa.bool_()),
+                    rows.column(0).take(pa.array(own, pa.int64())),
+                    pa.array((first - first_line[own]).astype(np.int32)),
+                    pa.array((last - first_line[own]).astype(np.int32)),
+                    pa.array([x[2] for x in found], pa.string()),
+                    pa.array([x[3] for x in found], pa.float64()),
+                    pa.array([x[4] for x in found], pa.float64()),
+                    pa.array([x[4] >= min_template and x[2] != "unknown" for x in found], pa.bool_()),
                 ],
                 [c.split()[0] for c in schema.split(", ")],
             )
