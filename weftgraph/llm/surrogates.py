@@ -10,7 +10,10 @@ of a number, lower-cased address, a name's part) and a key give its surrogate
 by SHA-256, so the same entity is the same surrogate in all documents
 and spellings; the surrogate is written in the form of each mention: its
 punctuation, case, number of digits, script and, for names, gender. Card
-numbers stay valid or invalid by their check digit.
+and account numbers stay valid or invalid by their check digits.
+
+A person who was named with a title in a text is replaced there without it
+too: the whole name as it was written, and the surname by itself.
 
 Collisions are checked over the whole corpus: the distinct entities, with
 surrogates that another entity has too, or that are themselves an entity of
@@ -19,13 +22,18 @@ entities that needed another attempt are looked up when texts are written;
 that table is broadcast if it is counted to be small, otherwise it is joined
 through the mentions.
 
+A very long text is one row as any other, and is gone through whole.
+
 Defined results: a null text stays null, an empty one empty; a text without
-entities comes back as it is; repeated rows and entities give equal results;
+entities comes back as it is; of entities that tie for a surrogate the least
+in code point order gets it; repeated rows and entities give equal results;
 an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +41,10 @@ from ._common import stage
 
 KEY = "weft-demonstration-key"
 BROADCAST_EXCEPTIONS = 50_000
-MAX_ATTEMPTS = 64
 
 _MALE_TITLES = r"Mr\.?|Herr|Señor|Sr\.|Monsieur|г-н"
 _FEMALE_TITLES = r"Mrs\.?|Ms\.?|Frau|Señora|Sra\.|Madame|Mme\.?|г-жа"
-_TITLE = rf"(?:{_FEMALE_TITLES}|{_MALE_TITLES}|Dr\.)"
+_TITLE = rf"(?:{_FEMALE_TITLES}|{_MALE_TITLES}|(?:Prof\.|Professor)(?: Dr\.)?|Dr\.)"
 # Names: words with inner capitals, apostrophes (but not 's) and hyphens; initials; particles. A name goes on as long as its parts do.
 _PARTICLE = r"(?:von|van|vom|zu|der|den|ter|ten|de|del|della|di|da|dos|du|la|le|bin|ibn)"
 _DOTTED = r"\p{Lu}\p{Ll}?\.(?:-?\p{Lu}\.)*"
@@ -51,6 +58,8 @@ _EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{
 _HEX = r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 _IP = rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\p{{N}})(?!\.\p{{N}})"
+# All eight groups, or fewer with a double colon.
+_IPV6 = r"(?<![\p{L}\p{N}:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[0-9a-fA-F:]{0,40}::)(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{1,4})(?![\p{L}\p{N}:])"
 _CARD = r"(?<!\p{N})(?:\d{13,19}|\d{4}(?:[ .\-]\d{4}){3}(?:[ .\-]\d{3})?|\d{4}[ .\-]\d{6}[ .\-]\d{4,5}|\d{4}[ .\-]\d{4}[ .\-]\d{5}|\d{6}[ .\-]\d{13})(?!\p{N})"
 _SSN = r"(?<![\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{N}\-])"
 _GROUPED = r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}"
@@ -58,10 +67,10 @@ _GROUPED = r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}"
 _PHONE = rf"(?<![\p{{L}}\p{{N}}+])(?:{_GROUPED}|\+(?:[ .\-/]?\(?\d\)?){{7,15}}|(?:\(\d{{3}}\)[ .\-]?|\d{{3}}[ .\-])\d{{7}}|(?<![_.,])1?[2-9]\d{{2}}[2-9]\d{{6}}(?![.,]?\p{{N}}))(?!\p{{N}})"
 _COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _PERSON = rf"(?<!\p{{L}}){_TITLE} {_NAME}"
-PATTERN = "|".join([_EMAIL, _HEX, _IBAN, _IP, _CARD, _SSN, _PHONE, _PERSON])
+PATTERN = "|".join([_EMAIL, _HEX, _IBAN, _IPV6, _IP, _CARD, _SSN, _PHONE, _PERSON])
 
 #: Every mention has one of these; texts without any are passed over by this one cheap search.
-HINT = r"[@0-9]|[MDHFSг](?:r|s|err|rau|eñor|onsieur|adame|me|-)|[a-fA-F]{32}"
+HINT = r"[@0-9]|::|[MDHFSPг](?:r|s|err|rau|eñor|onsieur|adame|me|-)|[a-fA-F]{32}"
 
 # Surrogate names, our own choice: fixed values.
 MALE = "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Noah Oscar Paul".split()
@@ -89,6 +98,7 @@ def kind(mention: Column) -> Column:
     return (
         F.when(mention.contains("@"), "email")
         .when(mention.rlike(rf"^{_TITLE} "), "person")
+        .when(mention.contains(":"), "ipv6")
         .when(mention.rlike("^[0-9a-fA-F]{32,128}$"), "secret")
         .when(mention.rlike("^[A-Z]{2}"), "iban")
         .when(mention.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
@@ -107,7 +117,7 @@ def _units(mention: Column, k: Column) -> Column:
     digits = F.regexp_replace(mention, r"\D", "")
     canon = (
         F.when(k == "email", F.lower(mention))
-        .when(k == "secret", F.lower(mention))
+        .when(k.isin("secret", "ipv6"), F.lower(mention))
         .when(k == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(k == "ip", mention)
         .when((k == "phone") & (mention.rlike(f"^{_GROUPED}$") | ~mention.startswith("+")), F.substr(digits, F.greatest(F.length(digits) - 9, F.lit(1))))
@@ -175,6 +185,11 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(text: Column) -> Column:
+    """Remainder of an account number read as digits, letters as 10 to 35."""
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97).cast("int"))
+
+
 def surrogate(what: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate of a canonical form, in canonical form."""
     return _let(_hash(what, canon, attempt, key), lambda h: _surrogate(what, canon, attempt, key, h))
@@ -195,7 +210,7 @@ def _surrogate(what: Column, canon: Column, attempt: Column, key: str, h: Column
     octets = F.array_join(
         F.transform(
             F.split(canon, r"\."),
-            lambda o, i: F.when(F.length(o) == 3, 100 + _number(h, i) % 156).when(F.length(o) == 2, 10 + _number(h, i) % 90).otherwise(_number(h, i) % 10).cast("string"),
+            lambda o, i: F.when(attempt > 8, _number(h, i) % 256).when(F.length(o) == 3, 100 + _number(h, i) % 156).when(F.length(o) == 2, 10 + _number(h, i) % 90).otherwise(_number(h, i) % 10).cast("string"),
         ),
         ".",
     )
@@ -207,7 +222,18 @@ def _surrogate(what: Column, canon: Column, attempt: Column, key: str, h: Column
     card = _let(F.substr(any_digits, F.lit(1), F.length(canon) - 1), with_check)
     phone = _chars(canon, lambda c, i: F.when((F.length(canon) == 10) & (F.substr(canon, F.lit(4), F.lit(3)) == "555") & i.isin(3, 4, 5), c).otherwise(digit(i)))
     secret = _chars(canon, lambda c, i: F.substr(F.lit("0123456789abcdef"), (_number(h, i) / F.pow(F.lit(16), F.floor(i / 32)) % 16 + 1).cast("int"), F.lit(1)))
-    iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), _chars(F.substr(canon, F.lit(3)), lambda c, i: F.when(c.rlike(r"\d"), digit(i)).otherwise(F.upper(F.substr(letters, (_number(h, i) % 26 + 1).cast("int"), F.lit(1))))))
+    hexes = _chars(canon, lambda c, i: F.when(c == ":", c).otherwise(F.substr(F.lit("123456789abcdef"), (_number(h, i) % 15 + 1).cast("int"), F.lit(1))))
+    account = _chars(F.substr(canon, F.lit(5)), lambda c, i: F.when(c.rlike(r"\d"), digit(i)).otherwise(F.upper(F.substr(letters, (_number(h, i) % 26 + 1).cast("int"), F.lit(1)))))
+    country = F.substr(canon, F.lit(1), F.lit(2))
+
+    def with_check_97(body: Column) -> Column:
+        """Check digits that hold if the original's do."""
+        good = 98 - _mod97(F.concat(body, country, F.lit("00")))
+        other = F.pmod(good + 1 + _number(h, F.lit(30)) % 95, F.lit(97))
+        check = F.when(_mod97(F.concat(F.substr(canon, F.lit(5)), F.substr(canon, F.lit(1), F.lit(4)))) == 1, good).otherwise(other)
+        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+
+    iban = _let(account, with_check_97)
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
     stem = F.concat(_pick(STEMS, _number(h, F.lit(0))), _pick(ENDS, _number(h, F.lit(1))))
     # A second part once the plain names don't suffice, then a third.
@@ -216,10 +242,14 @@ def _surrogate(what: Column, canon: Column, attempt: Column, key: str, h: Column
     more_c = F.concat(F.when(attempt > 0, F.concat(_pick(STEMS_CYRILLIC, _number(h, F.lit(1))), F.lit("о"))).otherwise(""), F.when(attempt > 2, F.concat(F.lower(_pick(STEMS_CYRILLIC, _number(h, F.lit(2)))), F.lit("о"))).otherwise(""), F.when(attempt > 0, F.lower(stem_c)).otherwise(stem_c))
     second = lambda words: F.when(attempt > 1, F.concat(F.lit("-"), _pick(words, _number(h, F.lit(1))))).otherwise("")
     third = lambda words: F.when(attempt > 3, F.concat(F.lit("-"), _pick(words, _number(h, F.lit(2))), F.lower(_pick(words, _number(h, F.lit(3)))))).otherwise("")
-    given = lambda words: F.concat(_pick(words, _number(h, F.lit(0))), second(words), third(words))
+    # Names grow with the attempts, so that there is always one left.
+    longer = lambda words: F.when(attempt > 8, F.array_join(F.transform(F.sequence(F.lit(9), F.greatest(attempt, F.lit(9))), lambda i: F.lower(_pick(words, _number(h, i)))), "")).otherwise("")
+    given = lambda words: F.concat(_pick(words, _number(h, F.lit(0))), second(words), third(words), longer(words))
+    more, more_c = F.concat(more, longer(ENDS)), F.concat(more_c, longer(STEMS_CYRILLIC), F.when(attempt > 8, "ов").otherwise(""))
     return (
         F.when(what == "email", mail)
         .when(what == "ip", octets)
+        .when(what == "ipv6", hexes)
         .when(what == "card", card)
         .when(what == "phone", phone)
         .when(what == "ssn", any_digits)
@@ -262,7 +292,7 @@ def _render(mention: Column, made: Column, k: Column) -> Column:
         return F.when((x["kind"] != "surname") & x["raw"].rlike(f"^{_INITIAL}$"), initial).when(shout, F.upper(name)).otherwise(name)
 
     person = F.concat(title, F.array_join(F.zip_with(_names(mention), made, part), " "))
-    return F.when(k == "person", person).when(k.isin("email", "secret"), cased).when(k == "ip", one).otherwise(_like(mention, one))
+    return F.when(k == "person", person).when(k.isin("email", "secret", "ipv6"), cased).when(k == "ip", one).otherwise(_like(mention, one))
 
 
 def _mentions(docs: DataFrame) -> DataFrame:
@@ -283,9 +313,9 @@ def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame:
     taken = None
     left = known.select("kind", "canon")
     done = []
-    for attempt in range(MAX_ATTEMPTS):
+    for attempt in count():  # the spaces grow with the attempts
         tried = left.withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key))
-        tried = tried.join(known.select("kind", F.col("canon").alias("made")), ["kind", "made"], "left_anti") if attempt < MAX_ATTEMPTS - 1 else tried
+        tried = tried.join(known.select("kind", F.col("canon").alias("made")), ["kind", "made"], "left_anti")
         if taken is not None:
             tried = tried.join(taken, ["kind", "made"], "left_anti")
         won = tried.groupBy("kind", "made").agg(F.min("canon").alias("canon"))
@@ -295,14 +325,25 @@ def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame:
         left = stage(left.join(won, ["kind", "canon"], "left_anti"), "pii-left")
         if not left.limit(1).count():
             break
-    else:
-        raise ValueError(f"some entities still collide after {MAX_ATTEMPTS} attempts")
     out = done[1:] or [done[0].limit(0)]
     for x in out[1:]:
         out[0] = out[0].unionByName(x)
     return out[0].select("kind", "canon", "attempt")
 
 
+def _untitled(text: Column) -> Column:
+    """The text, with the names of its titled people replaced where they stand without a title: whole names first, then surnames."""
+    bare = lambda x: F.regexp_replace(x, rf"^{_TITLE} ", "")
+    last = lambda x: F.regexp_extract(bare(x), rf"({_WORD})$", 1)
+    people = F.filter(F.arrays_zip(F.col("mentions").alias("m"), F.col("made").alias("s")), lambda x: x["m"].rlike(rf"^{_TITLE} "))
+    pairs = F.flatten(F.transform(people, lambda x: F.array(F.struct(bare(x["m"]).alias("a"), bare(x["s"]).alias("b")), F.struct(last(x["m"]).alias("a"), last(x["s"]).alias("b")))))
+    pairs = F.array_distinct(F.filter(pairs, lambda x: (F.length(x["a"]) > 2) & (x["b"] != "")))
+    pairs = F.reverse(F.array_sort(F.transform(pairs, lambda x: F.struct(F.length(x["a"]).alias("n"), x["a"].alias("a"), x["b"].alias("b")))))
+    mark = r"[\p{L}\p{M}\p{N}]"
+    again = F.aggregate(pairs, text, lambda t, x: F.regexp_replace(t, F.concat(F.lit(rf"(?<!{mark})\Q"), x["a"], F.lit(rf"\E(?!{mark})")), x["b"]))
+    return F.when(F.size(pairs) > 0, again).otherwise(text)
+
+
 def anonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, the text with surrogates, and the number of mentions, of every row of `docs` (doc_id, text)."""
     odd = stage(exceptions(docs, key), "pii-exceptions")
@@ -332,4 +373,4 @@ def anonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(F.when(i > 0, F.get("made", i - 1)).otherwise(""), p)), "")
     # One pass: what has no mention is handed on as it is.
     rows = rows.withColumn("made", made)
-    return rows.select("doc_id", F.when(F.size("mentions") > 0, joined).otherwise(F.col("text")).alias("text"), F.size("mentions").cast("long").alias("n_entities"))
+    return rows.select("doc_id", F.when(F.size("mentions") > 0, _untitled(joined)).otherwise(F.col("text")).alias("text"), F.size("mentions").cast("long").alias("n_entities"))
