@@ -25,6 +25,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,6 +99,9 @@ UNLISTED = [
     "SPDX-License-Identifier: {}-1.0", "SPDX-License-Identifier: {}", "This program is made available under the terms of the {} Public License 2.0", "Distributed under the {} Software License, Version 1.0", "This file is subject to the {} License agreement",
     "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "Use of this software is governed by the {} license terms",
 ]
+# And the listed notices without their own names: only a name tells a family from one that isn't listed.
+_NAMES = re.compile(r"MIT|Apache|GNU (?:Lesser )?General|GNU GPL|L?GPL|BSD(?: 3-Clause)?|Mozilla|MPL|CC0|CC BY(?:-[A-Z]{2})?|Creative Commons [\w-]+")
+UNLISTED += sorted({_NAMES.sub("{}", x) for texts in TEMPLATES.values() for x in texts if _NAMES.search(x)} - set(UNLISTED))
 FAMILIES = list(TEMPLATES)
 UNKNOWN = len(FAMILIES)  # the next class; the last one is "none"
 
@@ -178,7 +182,7 @@ def variants(rng: np.random.Generator, each: int = 24) -> tuple[list[str], list[
         for text in texts:
             for k in range(each):
                 name = " ".join("".join(rng.choice(list("bdfgklmnprstvz")) + rng.choice(list("aeiou")) for _ in range(int(rng.integers(2, 4)))).capitalize() for _ in range(int(rng.integers(1, 3))))
-                parts = text.format(name).split()
+                parts = text.replace("{}", name).split()
                 own = [w for w in parts if k == 0 or len(parts) < 6 or rng.random() > 0.06]
                 if k % 3 == 1:
                     own = ["Copyright", "(c)", str(int(rng.integers(1990, 2030))), *own]
