@@ -371,6 +371,19 @@ def test_surrogates_leave_nothing_of_a_mention(spark):
     assert {r.doc_id: r.text for r in surrogates.anonymize(same).collect()} == dict(enumerate(plain))
 
 
+def test_looks_ahead_change_no_mention(spark):
+    """The pattern finds what its alternatives find by themselves, in text made of all that they turn on."""
+    plain = "|".join([surrogates._EMAIL, surrogates._HEX, surrogates._IBAN, surrogates._IPV6, surrogates._IP, surrogates._CARD, surrogates._SSN, surrogates._PHONE, surrogates._PERSON])
+    bits = ["a@b.co", "é.x%y@z.de", "1.2.3.4", "::1", "A::b", "fe80::1", "(415) 555-2671", "+49 30 901820", "4155552671", "4111111111111111", "123-45-6789", "DE89 3704 0044 0532 0130 00"]
+    bits += ["deadbeef" * 4, "Mr. J. O'Brien", "г-н Иванов", "Dr. Who", "é", "𝐀", "🙂", "x", "5", ".", "_", "%", "-", "+", "(", ":", " ", " ", "\n"]
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(bits, 12)) for _ in range(3000)]
+    found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select(found(plain).alias("a"), found(surrogates.PATTERN).alias("b"))
+    n, same = rows.agg(F.sum(F.size("a")), F.bool_and(F.col("a") == F.col("b"))).first()
+    assert n > 3000 and same
+
+
 def test_surrogates_of_untitled_names_and_accounts(spark):
     texts = ["Mr. John Smith wrote. John Smith then left; Smith came back. A smith forged.", "Prof. Ada Lovelace and Professor Lovelace", "pay DE89370400440532013000 or DE89370400440532013001", "host 2001:db8::1 and fe80:0:0:0:1:2:3:4, std::abc, 12:30:45"]
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")

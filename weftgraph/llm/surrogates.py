@@ -67,7 +67,12 @@ _GROUPED = r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}"
 _PHONE = rf"(?<![\p{{L}}\p{{N}}+])(?:{_GROUPED}|\+(?:[ .\-/]?\(?\d\)?){{7,15}}|(?:\(\d{{3}}\)[ .\-]?|\d{{3}}[ .\-])\d{{7}}|(?<![_.,])1?[2-9]\d{{2}}[2-9]\d{{6}}(?![.,]?\p{{N}}))(?!\p{{N}})"
 _COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _PERSON = rf"(?<!\p{{L}}){_TITLE} {_NAME}"
-PATTERN = "|".join([_EMAIL, _HEX, _IBAN, _IPV6, _IP, _CARD, _SSN, _PHONE, _PERSON])
+# Each alternative needs what the lookahead before it asks for, and each mention what the first one does: within words, nearly
+# all places are passed over by one look instead of nine. They change no match.
+_START = r"(?=[0-9:+(]|[\p{L}\p{N}._%\-](?<!\p{L}.))"
+PATTERN = _START + "(?:" + "|".join([
+    _EMAIL, rf"(?=[0-9a-fA-F]{{8}}){_HEX}", rf"(?=[A-Z]{{2}}\d){_IBAN}", rf"(?=[0-9a-fA-F]{{0,4}}:){_IPV6}", rf"(?=\d)(?:{_IP}|{_CARD}|{_SSN})", rf"(?=[0-9+(]){_PHONE}", rf"(?=[MDHFSPг]){_PERSON}",
+]) + ")"
 
 #: Every mention has one of these; texts without any are passed over by this one cheap search.
 HINT = r"[@0-9]|::|[MDHFSPг](?:r|s|err|rau|eñor|onsieur|adame|me|-)|[a-fA-F]{32}"
