@@ -37,6 +37,20 @@ def test_quoting(spark):
         assert [r.z for r in rows] == [r.y for r in rows]
 
 
+def test_decanonicalize(spark):
+    long = "/".join("x" * 70)
+    rows = [("a/b/c", 1, "a\\b/c"), ("a/b/c", 2, "a/b\\c"), ("a/b/", 3, "a\\b\\"), ("a/b", 0, "a/b"), ("", 1, ""), ("/a", 1, "\\a"), (long, -1, long.replace("/", "\\", 64))]
+    got = spark.createDataFrame(rows, "x string, k long, y string").select("y", fn.decanonicalize(F.col("x"), F.col("k"), windows=True).alias("z"), fn.decanonicalize(F.col("x"), F.col("k")).alias("same"), "x").collect()
+    assert [r.z for r in got] == [r.y for r in got]
+    assert [r.same for r in got] == [r.x for r in got]
+
+
+def test_clock(spark):
+    assert one(spark, "1970-01-01T00:00:01.234567Z", lambda c: fn.now_millis(c.cast("timestamp"))) == 1234
+    assert one(spark, "", lambda c: fn.now_millis()) > 1_600_000_000_000
+    assert one(spark, "", lambda c: fn.format_mtime(F.lit(-5))) == "-5"
+
+
 def test_text(spark):
     assert one(spark, "\x1b[31mred\x1b[0m", fn.strip_ansi) == "red"
     assert one(spark, "a\x1b[1", fn.strip_ansi) == "a"

@@ -282,3 +282,11 @@ def test_rounds_and_one_task_agree(spark, monkeypatch):
         monkeypatch.setattr(closure, "ONE_TASK", -1)
         monkeypatch.setattr(closure, "MERGE_EVERY", 2)
         assert results() == want
+
+
+def test_dump_of_a_plan(spark):
+    g = BuildGraph.from_text(spark, "rule cc\n  command = cc\nbuild a.o: cc a.c | h\nbuild all: phony a.o\n")
+    edges = {r.rule: r.edge_id for r in g.edges.collect()}
+    plan = spark.createDataFrame([(edges["cc"], "to_start"), (edges["phony"], "nothing")], "edge_id long, want string")
+    got = planning.dump(g, plan, plan.where("want = 'to_start'")).orderBy("part", "edge_id").collect()
+    assert [r.line for r in got] == ["pending: 2", "want [ a.c h --cc-> a.o ]", "[ a.o --phony-> all ]", "ready: 1"]

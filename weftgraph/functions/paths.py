@@ -25,6 +25,15 @@ def canonical_path(path: Column) -> Column:
     return F.when(path == "", "").when(path.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(relative)
 
 
+def decanonicalize(path: Column, backslashes: Column, windows: bool = False) -> Column:
+    """The path with backslashes where bit k of `backslashes` (long) says so of slash k; slashes from the 65th on stay. Elsewhere than on Windows the path itself."""
+    if not windows:
+        return path
+    bit = lambda k: (k < 64) & (F.call_function("shiftrightunsigned", backslashes, k.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    slash = lambda k: F.when(bit(k), "\\").otherwise("/")
+    return F.array_join(F.transform(F.split(path, "/"), lambda part, i: F.when(i == 0, part).otherwise(F.concat(slash(i - 1), part))), "")
+
+
 def dir_name(path: Column) -> Column:
     """What stands before the last run of slashes, or nothing."""
     return F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*?)/+[^/]*$", 1)).otherwise("")

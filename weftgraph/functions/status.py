@@ -73,6 +73,15 @@ def progress_line(form: str, started: Column, total: Column, running: Column, fi
     return F.concat(*out) if out else F.lit("")
 
 
+def now_millis(at: Column | None = None) -> Column:
+    """Milliseconds since 1970 of a time, or of the query's start."""
+    return F.unix_millis(F.current_timestamp() if at is None else at)
+
+
+def format_mtime(mtime: Column) -> Column:
+    return mtime.cast("string")
+
+
 def status_text(description: Column, command: Column, verbose: bool = False) -> Column:
     """What is shown of a statement: its description, or its command."""
     return command if verbose else F.coalesce(F.when(description != "", description), command)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.graph import BuildGraph
 from .closure import closure, longest_paths, reverse
 from .dirty import Scan
+from .tools import format_edge
 
 
 def wanted(s: Scan, targets: DataFrame) -> DataFrame:
@@ -71,6 +73,15 @@ def next_batch(ready: DataFrame, capacity: int) -> DataFrame:
     return ready.orderBy(F.desc("weight"), "edge_id").limit(capacity)
 
 
+def dump(g: BuildGraph, plan: DataFrame, ready: DataFrame) -> DataFrame:
+    """(part, edge_id, line): how many statements are pending (part 0), each of them (1), how many are ready (2)."""
+    none = F.lit(None).cast("long").alias("edge_id")
+    total = lambda part, word, rows: rows.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), none, F.concat(F.lit(f"{word}: "), F.col("n").cast("string")).alias("line"))
+    mark = F.when(F.col("want") == "nothing", "").otherwise("want ")
+    each = plan.join(format_edge(g), "edge_id").select(F.lit(1).alias("part"), F.col("edge_id").cast("long").alias("edge_id"), F.concat(mark, "text").alias("line"))
+    return total(0, "pending", plan).unionByName(each).unionByName(total(2, "ready", ready))
+
+
 def all_inputs_ready(inputs: DataFrame, outputs: DataFrame, unfinished: DataFrame) -> DataFrame:
     """(edge_id, inputs_ready): whether every producer of a statement's inputs, order-only ones too, has finished."""
     made = outputs.join(unfinished.select("edge_id"), "edge_id", "left_semi").select("path", F.lit(True).alias("open"))
