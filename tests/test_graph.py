@@ -290,3 +290,38 @@ def test_dump_of_a_plan(spark):
     plan = spark.createDataFrame([(edges["cc"], "to_start"), (edges["phony"], "nothing")], "edge_id long, want string")
     got = planning.dump(g, plan, plan.where("want = 'to_start'")).orderBy("part", "edge_id").collect()
     assert [r.line for r in got] == ["pending: 2", "want [ a.c h --cc-> a.o ]", "[ a.o --phony-> all ]", "ready: 1"]
+
+
+def _statically_broadcast(df):
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _watch(monkeypatch, module):
+    """What `module` writes from now on that the planner, by the size of files, would join by a broadcast; explicit ones are switched off."""
+    found = []
+
+    def watch(name):
+        own = getattr(module, name)
+
+        def seen(df, label, *more):
+            found.extend([label] * _statically_broadcast(df))
+            return own(df, label, *more)
+
+        monkeypatch.setattr(module, name, seen)
+
+    watch("stage")
+    watch("stage_counted")
+    monkeypatch.setattr(closure, "SMALL", -1)
+    monkeypatch.setattr(closure, "ONE_TASK", -1)
+    return found
+
+
+def test_walks_broadcast_nothing_uncounted(spark, monkeypatch):
+    found = _watch(monkeypatch, closure)
+    links = spark.createDataFrame([(k, k + 1) for k in range(4)], "src long, dst long")
+    links, nodes = closure.stage(links, "t"), closure.stage(spark.createDataFrame([(k, k + 1) for k in range(5)], "node long, weight long"), "t")
+    assert {tuple(r) for r in closure.longest_paths(nodes, links).collect()} == {(0, 15), (1, 14), (2, 12), (3, 9), (4, 5)}
+    assert {tuple(r) for r in closure.levels(nodes.select("node"), links).collect()} == {(k, k) for k in range(5)}
+    assert {r.node for r in closure.closure(nodes.where("node = 2").select("node"), links).collect()} == {2, 3, 4}
+    assert closure.cyclic(nodes.select("node"), links).count() == 0
+    assert found == []

@@ -80,6 +80,16 @@ def stage_counted(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFr
     return stage(df.observe(seen, F.count(F.lit(1)).alias("n")), name, codec), seen.get["n"]
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that is never broadcast, nor is the other side.
+
+    Left to itself the planner takes a table's compressed size on disk for its
+    size, and broadcasts what is many times that in the driver's memory. Sides
+    that were counted and are small have `F.broadcast` instead.
+    """
+    return df.hint("merge")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a workspace path that nothing will read again."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._session import ship, stage, stage_counted
+from .._session import ship, shuffled, stage, stage_counted
 
 #: Frontier rows that may be broadcast.
 SMALL = 50_000
@@ -154,6 +154,11 @@ def _few(*counts: int) -> bool:
     return sum(counts) <= ONE_TASK
 
 
+def _side(rows: DataFrame, n: int) -> DataFrame:
+    """`rows`, counted as n, as a side of a join."""
+    return F.broadcast(rows) if n <= SMALL else shuffled(rows)
+
+
 def closure(seeds: DataFrame, links: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """All (`keys`..., node) that `seeds` reach over links (src, dst), the seeds included.
 
@@ -166,10 +171,9 @@ def closure(seeds: DataFrame, links: DataFrame, keys: list[str] | None = None) -
         return stage(_one_task(links, frontier.withColumn("value", F.lit(0)), _like("node", seeds, "node"), _reach), "reach")
     parts = [frontier]
     while n:
-        small = F.broadcast(frontier) if n <= SMALL else frontier
-        step = links.join(small, F.col("src") == F.col("node")).select(*keys, F.col("dst").alias("node")).distinct()
+        step = links.join(_side(frontier, n), F.col("src") == F.col("node")).select(*keys, F.col("dst").alias("node")).distinct()
         known = reduce(DataFrame.unionByName, parts)
-        frontier, n = stage_counted(step.join(known, [*keys, "node"], "left_anti"), "reach")
+        frontier, n = stage_counted(step.join(shuffled(known), [*keys, "node"], "left_anti"), "reach")
         if len(parts) >= MERGE_EVERY:
             parts = [stage(known, "reach")]
         parts.append(frontier)
@@ -188,7 +192,7 @@ def chain_roots(parent: DataFrame, max_rounds: int = 64) -> DataFrame:
         if not jump.where("up is not null").limit(1).count():
             return jump.select("node", "root", "depth")
         far = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
-        jump = jump.join(far, "up", "left").select(
+        jump = jump.join(shuffled(far), "up", "left").select(
             "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root")
         )
         jump = stage(jump, "chain")
@@ -209,16 +213,15 @@ def longest_paths(weights: DataFrame, links: DataFrame) -> DataFrame:
     changed, total, rounds = best.select("node", "cost"), n, 0
     # A node's cost only grows, and by no way longer than there are nodes.
     while True:
-        small = F.broadcast(changed) if n <= SMALL else changed
-        reach = links.join(small, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.max("cost").alias("after"))
-        better = best.join(reach, "node").where("weight + after > cost").select("node", (F.col("weight") + F.col("after")).alias("new"))
+        reach = links.join(_side(changed, n), F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.max("cost").alias("after"))
+        better = best.join(shuffled(reach), "node").where("weight + after > cost").select("node", (F.col("weight") + F.col("after")).alias("new"))
         better, n = stage_counted(better, "better")
         if not n:
             return best.select("node", "cost")
         rounds += 1
         if rounds > total:
             raise RuntimeError("longest_paths: a circle")
-        best = stage(best.join(better, "node", "left").select("node", F.coalesce("new", "cost").alias("cost"), "weight"), "cost")
+        best = stage(best.join(_side(better, n), "node", "left").select("node", F.coalesce("new", "cost").alias("cost"), "weight"), "cost")
         changed = better.select("node", F.col("new").alias("cost"))
 
 
@@ -234,8 +237,8 @@ def cyclic(nodes: DataFrame, links: DataFrame) -> DataFrame:
     if _few(n, n_links):
         return stage(_one_task(links, left.withColumn("value", F.lit(0)), _like("node", nodes, "node"), _unpeeled), "peel")
     while True:
-        live = links.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi")
-        left, now = stage_counted(left.join(live.select(F.col("dst").alias("node")), "node", "left_semi"), "peel")
+        live = links.join(shuffled(left.select(F.col("node").alias("src"))), "src", "left_semi").join(shuffled(left.select(F.col("node").alias("dst"))), "dst", "left_semi")
+        left, now = stage_counted(left.join(shuffled(live.select(F.col("dst").alias("node"))), "node", "left_semi"), "peel")
         if now in (0, n):
             return left
         n = now
@@ -278,7 +281,7 @@ def unfold(roots: DataFrame, links: DataFrame, depth: int | None) -> DataFrame:
     part = roots.select("root", F.array(F.lit(0)).alias("place"), F.lit(0).alias("level"), "node")
     parts, level, n = [part], 1, 1
     while n and (depth is None or level < depth):
-        part = part.join(links, F.col("node") == F.col("src")).select("root", F.array_append("place", F.col("pos")).alias("place"), F.lit(level).alias("level"), F.col("dst").alias("node"))
+        part = part.join(shuffled(links), F.col("node") == F.col("src")).select("root", F.array_append("place", F.col("pos")).alias("place"), F.lit(level).alias("level"), F.col("dst").alias("node"))
         part, n = stage_counted(part, "tree")
         parts.append(part)
         level += 1
