@@ -325,3 +325,21 @@ def test_walks_broadcast_nothing_uncounted(spark, monkeypatch):
     assert {r.node for r in closure.closure(nodes.where("node = 2").select("node"), links).collect()} == {2, 3, 4}
     assert closure.cyclic(nodes.select("node"), links).count() == 0
     assert found == []
+
+
+def test_plans_broadcast_nothing_uncounted(spark, monkeypatch):
+    walks, scans = _watch(monkeypatch, closure), _watch(monkeypatch, dirty)
+    text = RULES + "build a: cat x\nbuild b: dep a\nbuild all: phony b\n"
+    g = BuildGraph.from_text(spark, text, files=literal(spark, {"x": 1}), build_log=BuildGraph.empty_log(spark), deps_log=BuildGraph.empty_deps(spark))
+    s = dirty.scan(g.with_(edges=g.edges.withColumn("command_hash", F.lit("h"))))
+    plan = closure.stage(planning.wanted(s, spark.createDataFrame([("all",)], "path string")), "t")
+    assert {r.want for r in plan.collect()} == {"to_start"} and plan.count() == 3
+    links = s.graph.links()
+    elapsed = history.previous_elapsed(s.graph)
+    results = [
+        s.nodes, links, elapsed, dirty.explanations(s), planning.missing_leaves(s, plan, s.graph.edge_inputs), planning.counters(s, plan), planning.ready_edges(plan, links),
+        planning.all_inputs_ready(s.graph.edge_inputs, s.graph.edge_outputs, plan), history.plan_totals(plan, s.graph.edges, elapsed),
+    ]
+    assert [k for k, df in enumerate(results) if _statically_broadcast(df)] == []
+    assert planning.critical_paths(plan, s.graph.edges, links).agg(F.max("weight")).first()[0] == 2
+    assert walks == scans == []

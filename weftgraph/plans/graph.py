@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .._session import stage
+from .._session import shuffled, stage
 from ..sources.dyndep import DYNDEPS
 from ..sources.files import FILES
 from ..sources.logs import BUILD_LOG, DEPS_LOG
@@ -95,7 +95,7 @@ class BuildGraph:
     def links(self, kinds: list[str] | None = None) -> DataFrame:
         """(src, dst): dst uses an output of src; kinds: only by such inputs."""
         ins = self.edge_inputs if kinds is None else self.edge_inputs.where(F.col("kind").isin(kinds))
-        return self.edge_outputs.select("path", F.col("edge_id").alias("src")).join(ins.select("path", F.col("edge_id").alias("dst")), "path").select("src", "dst").distinct()
+        return self.edge_outputs.select("path", F.col("edge_id").alias("src")).join(shuffled(ins.select("path", F.col("edge_id").alias("dst"))), "path").select("src", "dst").distinct()
 
     def root_nodes(self) -> DataFrame:
         """Outputs that no statement uses."""

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .._session import shuffled
 from .graph import BuildGraph
 
 #: Statement numbers of a kind begin here.
@@ -72,7 +73,7 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> BuildGraph:
     order = F.lit(ORDER) + F.col("l_orderkey")
     ins = ins.unionByName(lineitem.select("l_orderkey", "l_partkey").distinct().select(*row(order, 1 + F.col("l_partkey"), _path("part", "l_partkey"), "implicit")))
     ins = ins.unionByName(lineitem.select("l_orderkey", "l_suppkey").distinct().select(*row(order, 10**9 + F.col("l_suppkey"), _path("supplier", "l_suppkey"), "order_only")))
-    of_segment = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(segments), F.col("c_mktsegment") == F.col("segment"))  # a row per segment
+    of_segment = orders.join(shuffled(customer), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(segments), F.col("c_mktsegment") == F.col("segment"))  # a row per segment
     ins = ins.unionByName(of_segment.select(*row(F.col("edge_id"), F.col("o_orderkey"), _path("order", "o_orderkey"), "explicit")))
 
     outs = edges.select("edge_id", F.lit(0).alias("pos"), F.col("out").alias("path"), F.lit(False).alias("implicit"))
@@ -83,7 +84,7 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> BuildGraph:
     files = files.unionByName(file(orders.where("o_orderkey % 13 <> 0"), _path("order", "o_orderkey"), day_ns("o_orderdate")))
     return BuildGraph(
         edges=edges.drop("out"), edge_inputs=ins, edge_outputs=outs,
-        edge_validations=orders.where("o_orderkey % 101 = 0").select((F.lit(ORDER) + F.col("o_orderkey")).alias("edge_id"), zero.alias("pos"), _path("supplier", "o_orderkey").alias("path")).join(supplier.select(_path("supplier", "s_suppkey").alias("path")), "path", "left_semi").select("edge_id", "pos", "path"),
+        edge_validations=orders.where("o_orderkey % 101 = 0").select((F.lit(ORDER) + F.col("o_orderkey")).alias("edge_id"), zero.alias("pos"), _path("supplier", "o_orderkey").alias("path")).join(shuffled(supplier.select(_path("supplier", "s_suppkey").alias("path"))), "path", "left_semi").select("edge_id", "pos", "path"),
         defaults=spark.createDataFrame([], "pos int, path string"), pools=spark.createDataFrame(list(POOL_DEPTHS), "name string, depth int"),
         files=files, build_log=build_log(spark, sf_dir), deps_log=deps_log(spark, sf_dir),
     )
@@ -109,8 +110,8 @@ def deps_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of every fifth order: its suppliers and one more customer; every tenth record is too old, every 25th order has none."""
     orders, lineitem, customer = (table(spark, sf_dir, x) for x in ("orders", "lineitem", "customer"))
     some = orders.where("o_orderkey % 5 = 0 and o_orderkey % 25 <> 0").select("o_orderkey", (day_ns("o_orderdate") - F.when(F.col("o_orderkey") % 10 == 0, DAY_NS).otherwise(0)).alias("mtime"), (F.col("o_custkey") * 7 % 100).alias("other"))
-    by_line = some.join(lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").distinct(), "o_orderkey").select("o_orderkey", "mtime", F.col("l_suppkey").cast("int").alias("pos"), _path("supplier", "l_suppkey").alias("input"))
-    more = some.join(customer.select(F.col("c_custkey").alias("other")), "other").select("o_orderkey", "mtime", F.lit(10**9).alias("pos"), _path("customer", "other").alias("input"))
+    by_line = some.join(shuffled(lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").distinct()), "o_orderkey").select("o_orderkey", "mtime", F.col("l_suppkey").cast("int").alias("pos"), _path("supplier", "l_suppkey").alias("input"))
+    more = some.join(shuffled(customer.select(F.col("c_custkey").alias("other"))), "other").select("o_orderkey", "mtime", F.lit(10**9).alias("pos"), _path("customer", "other").alias("input"))
     return by_line.unionByName(more).select(F.col("o_orderkey").alias("rec_no"), _path("order", "o_orderkey").alias("output"), "mtime", "pos", "input")
 
 
