@@ -175,9 +175,9 @@ def scan(g: BuildGraph) -> Scan:
 def explanations(s: Scan) -> DataFrame:
     """(edge_id, seq, reason): recorded dependencies that fail first, then dirty inputs, then the statement's own reason if no input is dirty."""
     real = s.graph.edge_inputs.where("kind <> 'order_only'")
-    by_input = real.join(s.nodes.where("dirty").select("path"), "path").select("edge_id", (F.col("pos") + 1).alias("seq"), F.concat("path", F.lit(" is dirty")).alias("reason"))
+    by_input = real.join(shuffled(s.nodes.where("dirty").select("path")), "path").select("edge_id", (F.col("pos") + 1).alias("seq"), F.concat("path", F.lit(" is dirty")).alias("reason"))
     gone = s.local.where("missing").select("edge_id", F.lit(0).alias("seq"), "reason")
-    own = s.local.where("not missing").join(by_input.select("edge_id"), "edge_id", "left_anti").join(gone.select("edge_id"), "edge_id", "left_anti").select("edge_id", F.lit(1).alias("seq"), "reason")
+    own = s.local.where("not missing").join(shuffled(by_input.select("edge_id")), "edge_id", "left_anti").join(shuffled(gone.select("edge_id")), "edge_id", "left_anti").select("edge_id", F.lit(1).alias("seq"), "reason")
     return gone.unionByName(by_input).unionByName(own)
 
 
