@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .._session import shuffled
 from ..plans.graph import BuildGraph
 from .closure import closure, longest_paths, reverse
 from .dirty import Scan
@@ -17,10 +18,10 @@ def wanted(s: Scan, targets: DataFrame) -> DataFrame:
     A statement that is not ready makes all that use it not ready, so reaching
     and not being ready can be decided apart.
     """
-    first = s.graph.edge_outputs.join(targets.select("path"), "path").select(F.col("edge_id").alias("node")).distinct()
+    first = s.graph.edge_outputs.join(shuffled(targets.select("path")), "path").select(F.col("edge_id").alias("node")).distinct()
     reach = closure(first, reverse(s.links))
     late = s.edges.where("not ready").select(F.col("edge_id").alias("node"), "dirty")
-    return reach.join(late, "node").select(F.col("node").alias("edge_id"), F.when(F.col("dirty"), "to_start").otherwise("nothing").alias("want"))
+    return reach.join(shuffled(late), "node").select(F.col("node").alias("edge_id"), F.when(F.col("dirty"), "to_start").otherwise("nothing").alias("want"))
 
 
 def missing_leaves(s: Scan, plan: DataFrame, declared_inputs: DataFrame) -> DataFrame:
