@@ -26,9 +26,9 @@ def wanted(s: Scan, targets: DataFrame) -> DataFrame:
 
 def missing_leaves(s: Scan, plan: DataFrame, declared_inputs: DataFrame) -> DataFrame:
     """(path, needed_by): files that are missing, that nothing makes and that a planned statement declares; recorded dependencies are forgiven."""
-    leaves = declared_inputs.join(s.graph.edge_outputs.select("path"), "path", "left_anti").join(s.graph.files.where("mtime > 0").select("path"), "path", "left_anti")
+    leaves = declared_inputs.join(shuffled(s.graph.edge_outputs.select("path")), "path", "left_anti").join(shuffled(s.graph.files.where("mtime > 0").select("path")), "path", "left_anti")
     first = s.graph.edge_outputs.where("pos = 0").select("edge_id", F.col("path").alias("needed_by"))
-    return leaves.join(plan.select("edge_id"), "edge_id", "left_semi").join(first, "edge_id").select("path", "needed_by").distinct()
+    return leaves.join(shuffled(plan.select("edge_id")), "edge_id", "left_semi").join(shuffled(first), "edge_id").select("path", "needed_by").distinct()
 
 
 def counters(s: Scan, plan: DataFrame) -> DataFrame:
