@@ -47,8 +47,8 @@ def critical_paths(plan: DataFrame, edges: DataFrame, links: DataFrame) -> DataF
 
 def ready_edges(plan: DataFrame, links: DataFrame) -> DataFrame:
     """(edge_id): planned statements to start none of whose producers are still planned."""
-    blocked = links.join(plan.select(F.col("edge_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("edge_id"))
-    return plan.where("want = 'to_start'").select("edge_id").join(blocked, "edge_id", "left_anti")
+    blocked = links.join(shuffled(plan.select(F.col("edge_id").alias("src"))), "src", "left_semi").select(F.col("dst").alias("edge_id"))
+    return plan.where("want = 'to_start'").select("edge_id").join(shuffled(blocked), "edge_id", "left_anti")
 
 
 def admitted(ready: DataFrame, pools: DataFrame, used: DataFrame | None = None) -> DataFrame:
