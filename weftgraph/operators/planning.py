@@ -40,8 +40,8 @@ def counters(s: Scan, plan: DataFrame) -> DataFrame:
 
 def critical_paths(plan: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
     """(edge_id, weight): commands on the longest way from a planned statement to a target, its own included; phony ones count 0."""
-    own = plan.join(edges.select("edge_id", "is_phony"), "edge_id").select(F.col("edge_id").alias("node"), F.when(F.col("is_phony"), 0).otherwise(1).alias("weight"))
-    inside = links.join(plan.select(F.col("edge_id").alias("src")), "src", "left_semi").join(plan.select(F.col("edge_id").alias("dst")), "dst", "left_semi")
+    own = plan.join(shuffled(edges.select("edge_id", "is_phony")), "edge_id").select(F.col("edge_id").alias("node"), F.when(F.col("is_phony"), 0).otherwise(1).alias("weight"))
+    inside = links.join(shuffled(plan.select(F.col("edge_id").alias("src"))), "src", "left_semi").join(shuffled(plan.select(F.col("edge_id").alias("dst"))), "dst", "left_semi")
     return longest_paths(own, inside).select(F.col("node").alias("edge_id"), F.col("cost").alias("weight"))
 
 
