@@ -85,5 +85,5 @@ def dump(g: BuildGraph, plan: DataFrame, ready: DataFrame) -> DataFrame:
 
 def all_inputs_ready(inputs: DataFrame, outputs: DataFrame, unfinished: DataFrame) -> DataFrame:
     """(edge_id, inputs_ready): whether every producer of a statement's inputs, order-only ones too, has finished."""
-    made = outputs.join(unfinished.select("edge_id"), "edge_id", "left_semi").select("path", F.lit(True).alias("open"))
-    return inputs.join(made, "path", "left").groupBy("edge_id").agg((~F.coalesce(F.bool_or("open"), F.lit(False))).alias("inputs_ready"))
+    made = outputs.join(shuffled(unfinished.select("edge_id")), "edge_id", "left_semi").select("path", F.lit(True).alias("open"))
+    return inputs.join(shuffled(made), "path", "left").groupBy("edge_id").agg((~F.coalesce(F.bool_or("open"), F.lit(False))).alias("inputs_ready"))
