@@ -33,7 +33,7 @@ def missing_leaves(s: Scan, plan: DataFrame, declared_inputs: DataFrame) -> Data
 
 def counters(s: Scan, plan: DataFrame) -> DataFrame:
     """One row: wanted_edges, command_edges and whether there is anything to do."""
-    rows = plan.where("want = 'to_start'").join(s.graph.edges.select("edge_id", "is_phony"), "edge_id")
+    rows = plan.where("want = 'to_start'").join(shuffled(s.graph.edges.select("edge_id", "is_phony")), "edge_id")
     out = rows.agg(F.count("*").alias("wanted_edges"), F.count_if(~F.col("is_phony")).alias("command_edges"))
     return out.withColumn("more_to_do", (F.col("wanted_edges") > 0) & (F.col("command_edges") > 0))
 
