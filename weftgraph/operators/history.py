@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .._session import shuffled
 from ..functions.status import predicted_share
 from ..plans.graph import BuildGraph
 from ..sources.logs import last_deps, last_entries
@@ -40,13 +41,13 @@ def compact_deps_log(g: BuildGraph, log: DataFrame) -> DataFrame:
 def previous_elapsed(g: BuildGraph, log: DataFrame | None = None) -> DataFrame:
     """(edge_id, elapsed_ms): how long a statement took, by the first of its outputs that the log has; -1 if none."""
     log = durations(last_entries(log if log is not None else g.build_log)).select(F.col("output").alias("path"), "duration_ms")
-    found = g.edge_outputs.join(log, "path").groupBy("edge_id").agg(F.min_by("duration_ms", "pos").alias("elapsed_ms"))
-    return g.edges.select("edge_id").join(found, "edge_id", "left").select("edge_id", F.coalesce("elapsed_ms", F.lit(-1)).alias("elapsed_ms"))
+    found = g.edge_outputs.join(shuffled(log), "path").groupBy("edge_id").agg(F.min_by("duration_ms", "pos").alias("elapsed_ms"))
+    return g.edges.select("edge_id").join(shuffled(found), "edge_id", "left").select("edge_id", F.coalesce("elapsed_ms", F.lit(-1)).alias("elapsed_ms"))
 
 
 def plan_totals(plan: DataFrame, edges: DataFrame, elapsed: DataFrame) -> DataFrame:
     """One row: commands of a plan with and without an earlier duration, and the sum of those."""
-    rows = plan.join(edges.where("not is_phony").select("edge_id"), "edge_id", "left_semi").join(elapsed, "edge_id", "left")
+    rows = plan.join(shuffled(edges.where("not is_phony").select("edge_id")), "edge_id", "left_semi").join(shuffled(elapsed), "edge_id", "left")
     known = F.coalesce(F.col("elapsed_ms"), F.lit(-1)) >= 0
     return rows.agg(F.count("*").alias("total"), F.count_if(known).alias("predictable"), F.count_if(~known).alias("unpredictable"), F.coalesce(F.sum(F.when(known, F.col("elapsed_ms"))), F.lit(0)).alias("predictable_ms"))
 

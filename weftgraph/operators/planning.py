@@ -79,7 +79,7 @@ def dump(g: BuildGraph, plan: DataFrame, ready: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long").alias("edge_id")
     total = lambda part, word, rows: rows.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), none, F.concat(F.lit(f"{word}: "), F.col("n").cast("string")).alias("line"))
     mark = F.when(F.col("want") == "nothing", "").otherwise("want ")
-    each = plan.join(format_edge(g), "edge_id").select(F.lit(1).alias("part"), F.col("edge_id").cast("long").alias("edge_id"), F.concat(mark, "text").alias("line"))
+    each = plan.join(shuffled(format_edge(g)), "edge_id").select(F.lit(1).alias("part"), F.col("edge_id").cast("long").alias("edge_id"), F.concat(mark, "text").alias("line"))
     return total(0, "pending", plan).unionByName(each).unionByName(total(2, "ready", ready))
 
 
