@@ -156,6 +156,31 @@ def test_encoder_on_odd_texts():
             assert ids[bounds[k] : bounds[k + 1]].tolist() == [*encoder.tokenizer.encode(x, add_special_tokens=False).ids, 1], x[:50]
 
 
+def test_encoder_asks_once_for_a_piece(monkeypatch):
+    """A task's different pieces, some 320,000 in a file of the check's size, are kept; the library gets each once."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    encoder = token_store.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+    words = encoder.words
+    monkeypatch.setattr(encoder, "words", lambda new: asked.extend(new) or words(new))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    parts = [" ".join(str(k).translate(letters) for k in range(a, a + 60_000)) for a in range(0, 300_000, 60_000)]
+    for x in [*parts, parts[0]]:
+        encoder(*t.buffers(pa.array([x])))
+    assert len(asked) == len(set(asked)) == 300_000
+
+
+def test_distinct_pieces():
+    data = np.frombuffer(b"ab  a ab\nb a" + bytes([0xC3, 0xA9]), np.uint8)
+    starts, ends = np.array([0, 4, 6, 9, 11, 12]), np.array([2, 5, 8, 10, 12, 14])
+    keys, which = token_store.distinct_pieces(data, starts, ends)
+    assert len(keys) == len(set(keys))
+    assert [keys[k] for k in which] == [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    assert token_store.distinct_pieces(data, starts[:0], ends[:0])[0] == []
+
+
 def test_store_files_are_in_order(spark, monkeypatch):
     import public_tokenizers
 

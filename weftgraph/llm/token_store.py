@@ -32,7 +32,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -51,7 +50,7 @@ END_ID = 1
 WINDOW, MEAN, LONGEST = 16, 512, 4096
 _ROLL = 0x9E3779B97F4A7C15
 #: So many pieces of late are kept, and as many before; one piece of text adds its own.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 200_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 1: ASCII letters; 2: ASCII marks that neither compose with what follows nor belong to a special token.
@@ -62,7 +61,6 @@ _CLASS[list(b".,!?;:*#$%&()")] = 2
 _LATIN = np.zeros(256, bool)
 _LATIN[0x80:0xC0] = True
 _LATIN[[0x97, 0xB7]] = False
-_WORD = re.compile("[a-zß-öø-ÿ]+")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -73,6 +71,18 @@ def _byte_letters() -> dict[int, int]:
 
 
 _LETTERS = _byte_letters()
+#: The bytes of "ß" to "ÿ" that such vocabularies write with another letter than their own.
+_HIDDEN = [b for b in range(0x9F, 0xC0) if _LETTERS[b] != b]
+
+
+def _plain(low: np.ndarray) -> np.ndarray:
+    """Of lower-cased words, a line each, whether they have only letters from "a" to "z" and from "ß" to "ÿ"."""
+    after = np.append(low[1:], 0)
+    lead = (low == 0xC3) & (after >= 0x9F) & (after <= 0xBF) & (after != 0xB7)
+    good = ((low >= 97) & (low <= 122)) | (low == 10) | lead
+    good[1:] |= lead[:-1]
+    line = np.append(0, np.flatnonzero(low == 10) + 1)
+    return np.logical_and.reduceat(good, line)
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,6 +102,20 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def distinct_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different spans, and of each span its number among them; told apart by their bytes."""
+    n = len(starts)
+    if not n:
+        return [], np.zeros(0, np.int64)
+    edges = np.empty(2 * n, np.int32)  # of the spans and of what lies between them
+    edges[0::2], edges[1::2] = starts, ends
+    both = pa.Array.from_buffers(pa.binary(), 2 * n - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = both.take(pa.array(np.arange(0, 2 * n - 1, 2, dtype=np.int32))).dictionary_encode()
+    _, at, held = coded.dictionary.buffers()
+    at, raw = np.frombuffer(at, np.int32)[: len(coded.dictionary) + 1].tolist(), held.to_pybytes()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], coded.indices.to_numpy()
+
+
 #: What a tokenizer must do with a text before its model sees it, for pieces of the text to be encoded apart.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -140,27 +164,35 @@ class Encoder:
         """The ids of distinct pieces."""
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+        young, before = self.young, self.old.get
+        got = list(map(young.get, keys))
+        left = [i for i, x in enumerate(got) if x is None]
         new = []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    new.append(k)
+        for i in left:
+            x = got[i] = before(keys[i])
+            if x is None:
+                new.append(i)
+            else:
+                young[keys[i]] = x
         if new:
-            flat, size = self.words([k.decode() for k in new])
+            flat, size = self.words([keys[i] for i in new])
             raw, ends = flat.tobytes(), np.cumsum(size * 4).tolist()
-            young.update(zip(new, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        return [young[k] for k in keys]
+            for i, a, b in zip(new, [0, *ends[:-1]], ends, strict=True):
+                got[i] = young[keys[i]] = raw[a:b]
+        return got
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces, flat, and how many each has; words of Latin letters need only be spelt as bytes for the model."""
-        model, whole = self.tokenizer.model.tokenize, _WORD.fullmatch
-        low = [w.lower() for w in words]
-        plain = [whole(w) is not None for w in low]
-        rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
-        got = [[x.id for x in model(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS))] if p else next(rest).ids for w, p in zip(low, plain, strict=True)]
+        whole = b"\n".join(words).decode()  # no piece has white space
+        low = whole.lower().encode()
+        spelt = low.decode("latin-1")
+        for byte in _HIDDEN:
+            spelt = spelt.replace(chr(byte), chr(_LETTERS[byte]))
+        plain = _plain(np.frombuffer(low, np.uint8)).tolist()
+        rest = [w for w, p in zip(whole.split("\n"), plain, strict=True) if not p]
+        others = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        model = self.tokenizer.model.tokenize
+        got = [[x.id for x in model(w)] if p else next(others).ids for w, p in zip(spelt.split("\n"), plain, strict=True)]
         return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
 
     def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,9 +208,7 @@ class Encoder:
         if b"<|" not in data.tobytes():  # a special token has its own case
             data = _LOWER[data]
         starts, ends, at = pieces(data, offsets)
-        one, which = t.span_numbers(data, starts, ends)
-        raw = data.tobytes()
-        keys = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        keys, which = distinct_pieces(data, starts, ends)
         got = self.known(keys)
         flat = np.frombuffer(b"".join(got), np.int32)
         size = np.fromiter(map(len, got), np.int64, len(got)) // 4
