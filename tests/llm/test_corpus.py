@@ -172,6 +172,36 @@ def test_encoder_asks_once_for_a_piece(monkeypatch):
     assert len(asked) == len(set(asked)) == 300_000
 
 
+def test_tasks_leave_no_memory_behind():
+    """A Python worker takes one task after the other; what a task encoded is let go, and the tokenizer is loaded once."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(7)
+    words = prose(rng, 2000).split()
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([" ".join(rng.choices(words, k=150_000))])], ["doc_id", "text"]) for k in range(4)]
+
+    def task():
+        return sum(len(x) for b in token_store.encode_batches(iter(batches), path) for own in b.column(6).to_pylist() for x in own)
+
+    size = task()
+    assert size > 2 << 20
+    encoder = token_store.encoder_of(path)
+    tracemalloc.start()
+    try:
+        task()
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < size / 4
+    assert token_store.encoder_of(path) is encoder
+
+
 def test_distinct_pieces():
     data = np.frombuffer(b"ab  a ab\nb a" + bytes([0xC3, 0xA9]), np.uint8)
     starts, ends = np.array([0, 4, 6, 9, 11, 12]), np.array([2, 5, 8, 10, 12, 14])

@@ -267,50 +267,68 @@ def _digest(payload) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """A row per document: its chunks' digests and sizes, and the payloads that this task has not given before."""
-    schema = "doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, root binary, new_digests array<binary>, new_payloads array<binary>"
+#: Per worker process: a tokenizer leaves some of its memory behind when it goes, so that one is kept, with its pieces.
+_KEPT: dict[bytes, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a tokenizer file, made once in a process as long as the file has the same bytes."""
+    with open(path, "rb") as f:
+        key = hashlib.blake2b(f.read()).digest()
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Encoder(path)
+    return _KEPT[key]
+
+
+_ENCODED = "doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, root binary, new_digests array<binary>, new_payloads array<binary>"
+
+
+def encode_batches(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
+    """What `encode` gives, of one task's batches (doc_id, text)."""
+    encoder = encoder_of(tokenizer)
+    kind = np.dtype(f"<u{encoder.width}")
+    given: set[bytes] = set()
+    for rows, data, offsets in t.slices(batches, "text", 1 << 20):
+        ids, bounds = encoder(data, offsets)
+        ends = cut(ids, bounds)
+        raw = ids.astype(kind).tobytes()
+        last = np.searchsorted(ends, bounds[1:], "right")
+        spots = np.concatenate([[0], ends]) * kind.itemsize
+        view, places = memoryview(raw), spots.tolist()
+        digests = [_digest(view[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
+        fresh = np.zeros(len(digests), bool)
+        for k, x in enumerate(digests):
+            if x not in given:
+                if len(given) > 50_000:  # then some are given again; the store keeps one
+                    given.clear()
+                given.add(x)
+                fresh[k] = True
+        at = pa.array(np.concatenate([[0], last]).astype(np.int32))
+        new = np.flatnonzero(fresh)
+        new_at = pa.array(np.searchsorted(new, np.concatenate([[0], last])).astype(np.int32))
+        # Not an array of memoryviews: Arrow never lets go of what they show.
+        payloads = pa.Array.from_buffers(pa.large_binary(), len(digests), [None, pa.py_buffer(spots.astype(np.int64)), pa.py_buffer(raw)])
+        flat = pa.array(digests, pa.binary())
+        cuts = np.concatenate([[0], last]).tolist()
+        yield pa.RecordBatch.from_arrays(
+            [
+                rows.column(0),
+                pa.array(np.diff(bounds)),
+                pa.ListArray.from_arrays(at, flat),
+                pa.ListArray.from_arrays(at, pa.array((np.diff(spots) // kind.itemsize).astype(np.int32))),
+                pa.array([merkle(digests[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                pa.ListArray.from_arrays(new_at, flat.take(pa.array(new))),
+                pa.ListArray.from_arrays(new_at, payloads.take(pa.array(new)).cast(pa.binary())),
+            ],
+            [x.split()[0] for x in _ENCODED.split(", ")],
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        kind = np.dtype(f"<u{encoder.width}")
-        given: set[bytes] = set()
-        for rows, data, offsets in t.slices(batches, "text", 1 << 20):
-            ids, bounds = encoder(data, offsets)
-            ends = cut(ids, bounds)
-            raw = memoryview(ids.astype(kind).tobytes())
-            last = np.searchsorted(ends, bounds[1:], "right")
-            begin = np.concatenate([[0], ends[:-1]])
-            spots = zip((begin * kind.itemsize).tolist(), (ends * kind.itemsize).tolist(), strict=True)
-            digests = [_digest(raw[a:b]) for a, b in spots]
-            fresh = np.zeros(len(digests), bool)
-            for k, x in enumerate(digests):
-                if x not in given:
-                    if len(given) > 50_000:  # then some are given again; the store keeps one
-                        given.clear()
-                    given.add(x)
-                    fresh[k] = True
-            at = pa.array(np.concatenate([[0], last]).astype(np.int32))
-            new = np.flatnonzero(fresh)
-            new_at = pa.array(np.searchsorted(new, np.concatenate([[0], last])).astype(np.int32))
-            payloads = pa.array([raw[begin[k] * kind.itemsize : ends[k] * kind.itemsize] for k in new.tolist()], pa.binary())
-            flat = pa.array(digests, pa.binary())
-            cuts = np.concatenate([[0], last]).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column(0),
-                    pa.array(np.diff(bounds)),
-                    pa.ListArray.from_arrays(at, flat),
-                    pa.ListArray.from_arrays(at, pa.array((ends - begin).astype(np.int32))),
-                    pa.array([merkle(digests[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                    pa.ListArray.from_arrays(new_at, flat.take(pa.array(new))),
-                    pa.ListArray.from_arrays(new_at, payloads),
-                ],
-                [x.split()[0] for x in schema.split(", ")],
-            )
 
+def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """A row per document: its chunks' digests and sizes, and the payloads that this task has not given before."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(lambda batches: encode_batches(batches, tokenizer), _ENCODED)
 
 
 def token_width(tokenizer: str) -> int:
