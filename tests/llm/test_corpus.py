@@ -492,6 +492,40 @@ def test_repeats(spark, odd, empty, monkeypatch):
     assert repeats.remove(empty).count() == 0
 
 
+def brute_passages(texts, least):
+    words = [WORD.findall(x) for _, x in texts]
+    seen = Counter(tuple(w[i : i + least]) for w in words for i in range(len(w) - least + 1))
+    out = Counter()
+    for (d, _), w in zip(texts, words, strict=True):
+        hit = {k for i in range(len(w) - least + 1) if seen[tuple(w[i : i + least])] > 1 for k in range(i, i + least)}
+        out[d, len(hit)] += 1
+    return out
+
+
+def test_repeated_passages(spark, odd, empty, monkeypatch):
+    rng = random.Random(12)
+    p, q = " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(55)), prose(rng, 160)
+    assert len(p) < repeats.MIN
+    made = [(3000, f"{prose(rng, 30)} {p} {prose(rng, 20)}"), (3001, f"{prose(rng, 8)}\n{p}"), (3002, p.replace(" ", "\n\t")), (3003, " ".join(p.split()[:50])), (3004, "ab " * 300)]
+    for k in range(40):
+        w = q.split()
+        for _ in range(3):
+            w[rng.randrange(len(w))] = prose(rng, 1)
+        made.append((4000 + k, " ".join(w[rng.randrange(60) :])))
+    docs = odd.where("length(text) < 30000 or text is null").select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    rows = lambda words: repeats.remove(docs, digest=True, words=words).collect()
+    got = rows(51)
+    found = {r.doc_id: r for r in got}
+    assert [found[k].n_passage_words for k in (3000, 3001, 3002, 3003, 3004)] == [55, 55, 55, 0, 300]
+    assert [found[k].n_removed for k in (3000, 3001)] == [0, 0]
+    assert Counter((r.doc_id, r.n_passage_words) for r in got) == brute_passages(texts_of(docs), 51)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept).hex()) for r in got) == brute_repeats(texts_of(docs), 400)
+    monkeypatch.setattr(repeats, "HOT_BYTES", 300)
+    for words in (51, 9):
+        assert Counter((r.doc_id, r.n_passage_words) for r in rows(words)) == brute_passages(texts_of(docs), words)
+    assert repeats.remove(empty, words=51).count() == 0
+
+
 def brute_groups(texts, least):
     """All maximal repeats, by extending every repeated window to both sides."""
     at = {}

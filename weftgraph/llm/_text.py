@@ -54,9 +54,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of byte values times powers; n + 1 entries."""
+    """Prefix sums of byte values (or of 64-bit numbers, made odd) times powers; n + 1 entries."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * powers(BASE, len(data)), out=out[1:])
+    values = BYTE_VALUE[data] if data.dtype == np.uint8 else data | np.uint64(1)
+    np.cumsum(values * powers(BASE, len(data)), out=out[1:])
     return out
 
 

@@ -52,10 +52,10 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .repeats import remove
+    from .repeats import PASSAGE, remove
 
-    found = remove(table(spark, sf_dir, "documents"), digest=True)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+    found = remove(table(spark, sf_dir, "documents"), digest=True, words=PASSAGE)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"), "n_passage_words")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,11 @@ group, whose distinct continuations are sorted and scanned in the same way;
 groups that are too large for a task are first cut from the top, each round
 taking off the common prefix of the least and the greatest member.
 
+`passages` is the same over words instead of bytes: a symbol is a keyed
+64-bit BLAKE2b of a word's bytes, a window is PASSAGE words, and what stands
+between words doesn't count. It finds the passages that are long in words and
+shorter than MIN bytes, or whose white space differs.
+
 A very long text is cut into segments whole, by itself, in about 80 times its
 size of memory. Segments count as equal by anchor and a keyed 64-bit BLAKE2b
 of their bytes.
@@ -55,6 +60,13 @@ from ._common import ship, stage, stage_counted, whole_groups
 
 MIN = 400
 GRAM = 32
+#: Over 50 words in a row are a passage; its anchors are strings of so many words.
+PASSAGE = 51
+WORD_GRAM = 8
+#: Bytes of a word's number.
+WORD = 8
+#: Numbers of words that a task of `_fetch` keeps.
+KEEP_WORDS = 100_000
 #: Windows whose distances from the anchor differ by less go on together when a hot anchor is split.
 STEP = 16
 HOT_BYTES = 3 << 18
@@ -76,7 +88,10 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int = MIN, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """The segments of many texts: document, first window, number of windows, distance of the anchor, hash of its string, hash of the segment."""
+    """The segments of many texts: document, first window, number of windows, distance of the anchor, hash of its string, hash of the segment.
+
+    `data` is bytes, or the numbers of words; all counts are of those symbols.
+    """
     none = {k: np.zeros(0, np.int64) for k in ("doc", "lo", "windows", "rel", "anchor", "seg", "left")}
     n = len(data)
     if n < least:
@@ -100,10 +115,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int = MIN, gram: int =
     windows = np.diff(np.append(first, len(doc)))
     lo, rel = start[first], place[first] - start[first]
     # Bytes and distance; the numbers are those of this machine, which all workers share.
-    raw = data.tobytes()
-    seg = b"".join([_hash(raw[a:b] + r.to_bytes(2, "little")) for a, b, r in zip(lo.tolist(), (lo + windows + least - 1).tolist(), rel.tolist(), strict=True)])
+    raw, unit = data.tobytes(), data.itemsize
+    seg = b"".join([_hash(raw[a:b] + r.to_bytes(2, "little")) for a, b, r in zip((lo * unit).tolist(), ((lo + windows + least - 1) * unit).tolist(), rel.tolist(), strict=True)])
     begin = lo == offsets[:-1][doc[first]]
-    left = np.where(begin, -1, data[np.maximum(lo - 1, 0)].astype(np.int64))
+    # Only `repeat_groups`, which is over bytes, asks for what stands on the left.
+    left = np.where(begin | (unit > 1), -1, data[np.maximum(lo - 1, 0)].astype(np.int64))
     return {"doc": doc[first], "lo": lo - offsets[:-1][doc[first]], "windows": windows, "rel": rel, "anchor": h[place[first]].view(np.int64), "seg": np.frombuffer(seg, np.int64), "left": left}
 
 
@@ -111,17 +127,36 @@ def _hash(x: bytes) -> bytes:
     return hashlib.blake2b(x, digest_size=8, key=b"weft").digest()
 
 
+def word_numbers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each word, and n + 1 offsets of the texts into them."""
+    starts, ends, at = t.word_spans(data, offsets)
+    one, which = t.span_numbers(data, starts, ends)
+    raw = data.tobytes()
+    keys = b"".join([_hash(raw[a:b]) for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+    return np.frombuffer(keys, "<u8")[which], at
+
+
+class _WordKeys(dict):
+    """Bytes of a word's number, by the word."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KEEP_WORDS:
+            self.clear()
+        self[word] = out = _hash(word)
+        return out
+
+
 def _slim(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
 
 
-def segments(docs: DataFrame, least: int = MIN) -> DataFrame:
+def segments(docs: DataFrame, least: int = MIN, unit: int = 1) -> DataFrame:
     schema = "id long, tkey long, lo int, windows int, rel int, left short, anchor long, seg long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in t.slices(batches, "text", 1 << 20):
-            x = anchors(data, offsets, least)
+            x = anchors(data, offsets, least) if unit == 1 else anchors(*word_numbers(data, offsets), least, min(WORD_GRAM, least))
             doc = pa.array(x["doc"])
             ints = [pa.array(x[k].astype(np.int32)) for k in ("lo", "windows", "rel")]
             yield pa.RecordBatch.from_arrays([rows.column(0).take(doc), rows.column(1).take(doc), *ints, pa.array(x["left"].astype(np.int16)), pa.array(x["anchor"]), pa.array(x["seg"])], [c.split()[0] for c in schema.split(", ")])
@@ -145,13 +180,14 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def repeated(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, left: np.ndarray, least: int = MIN) -> list[tuple[np.ndarray, int]]:
-    """Maximal repeat groups: (places, length), of windows at `starts` in concatenated pieces; ends: the end of each byte's piece; left: what stands before each byte."""
+    """Maximal repeat groups: (places, length), of windows at `starts` in concatenated pieces; ends: the end of each symbol's piece; left: what stands before each symbol."""
     n = len(data)
-    first = np.zeros(n, np.int64)
-    for k in range(7):  # seven bytes at once, nothing sorts before all bytes
+    pack = 7 if data.itemsize == 1 else 1
+    first = np.zeros(n, np.int64) if pack > 1 else t.distinct(data)[2]
+    for k in range(pack if pack > 1 else 0):  # seven bytes at once, nothing sorts before all bytes
         inside = np.arange(n) + k < ends
         first = first * 257 + np.where(inside, data[np.minimum(np.arange(n) + k, n - 1)].astype(np.int64) + 1, 0)
-    array = t.SuffixArray(first, ends, 7)
+    array = t.SuffixArray(first, ends, pack)
     lcp = array.lcp()
     wanted = np.zeros(n, bool)
     wanted[starts] = True
@@ -165,7 +201,7 @@ def repeated(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, left: np.nd
     i, j = order[:-1].copy(), order[1:].copy()
     a, b = i + shared, j + shared
     open_ = np.ones(len(a), bool)
-    for _ in range(6):  # units of seven: up to six more bytes agree
+    for _ in range(pack - 1):  # units of seven: up to six more bytes agree
         ok = open_ & (a < ends[i]) & (b < ends[j])
         ok[ok] = data[a[ok]] == data[b[ok]]
         a += ok
@@ -200,13 +236,13 @@ def _bodies(anchor, seg, rel, left, bodies: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), pa.array(rel, pa.int32()), pa.array(left, pa.int32()), pa.array(bodies, pa.binary())], [c.split()[0] for c in _PIECES.split(", ")])
 
 
-def _fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes of one occurrence of each segment in `wanted` (anchor, seg, rel, left, lo, size, id, tkey)."""
+def _fetch(wanted: DataFrame, docs: DataFrame, unit: int = 1) -> DataFrame:
+    """The bytes, or the words' numbers, of one occurrence of each segment in `wanted` (anchor, seg, rel, left, lo, size, id, tkey)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        open_ = zstandard.ZstdDecompressor()
+        open_, keys = zstandard.ZstdDecompressor(), _WordKeys()
         for b in batches:
             t.release()
             segs = b.column(1)
@@ -217,9 +253,11 @@ def _fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             bodies, held, begin, k = [], 0, 0, 0
             for i, end in enumerate(ends):
                 text = open_.decompress(b.column(0)[i].as_py())
+                text = text if unit == 1 else text.split()  # of bytes: at space and the controls 9 to 13
                 while k < end:
-                    bodies.append(text[lo[k] : lo[k] + size[k]])
-                    held += size[k]
+                    body = text[lo[k] : lo[k] + size[k]]
+                    bodies.append(body if unit == 1 else b"".join([keys[w] for w in body]))
+                    held += size[k] * unit
                     k += 1
                     if held > 2 << 20:
                         yield _bodies(*[c[begin:k] for c in cols[:4]], bodies)
@@ -238,8 +276,8 @@ def _windows(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndar
     return seg, start, t.rolling_hash(t.prefix_hash(data), start, start + least)
 
 
-def _groups_of(whole: pa.Table, least: int, real_left: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
-    """(rows of distinct segments, their offsets, groups over their concatenated bytes).
+def _groups_of(whole: pa.Table, least: int, real_left: bool = False, unit: int = 1) -> tuple[np.ndarray, np.ndarray, list]:
+    """(rows of distinct segments, their offsets, groups over their concatenated symbols).
 
     real_left: what stands before a segment counts. Otherwise its first window
     always starts a group, whose bytes the segment before doesn't cover.
@@ -249,6 +287,8 @@ def _groups_of(whole: pa.Table, least: int, real_left: bool = False) -> tuple[np
     first[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
     rows = np.flatnonzero(first)
     data, offsets = t.buffers(whole.column(4).take(pa.array(rows)))
+    if unit > 1:
+        data, offsets = np.frombuffer(data.tobytes(), "<u8"), offsets // unit
     owner, start, digest = _windows(data, offsets, least)
     # Windows whose digest comes once can't repeat: only the bytes of the others are sorted.
     by = np.argsort(digest)
@@ -268,7 +308,7 @@ def _groups_of(whole: pa.Table, least: int, real_left: bool = False) -> tuple[np
     begin = np.flatnonzero(cut)
     ends = np.repeat(np.append(begin[1:], len(back)), np.diff(np.append(begin, len(back))))
     left = np.zeros(len(data), np.int64)
-    left[1:] = data[:-1]
+    left[1:] = data[:-1] if unit == 1 else data[:-1] >> np.uint64(1)  # below 0 are the segments' own
     head = offsets[:-1][np.diff(offsets) > 0]
     own = -1 - np.arange(len(offsets) - 1, dtype=np.int64)
     if real_left:
@@ -286,13 +326,13 @@ def _by_anchor(pieces: DataFrame):
     return pieces.select("anchor", "seg", "rel", "left", "body").repartition("anchor").sortWithinPartitions("anchor", "seg")
 
 
-def _mark(pieces: DataFrame, least: int) -> DataFrame:
+def _mark(pieces: DataFrame, least: int, unit: int = 1) -> DataFrame:
     """Of each segment, the spans that its maximal repeats cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_groups(batches, 1, 1 << 30, BATCH_BYTES):
             t.release()
-            rows, offsets, groups = _groups_of(whole, least)
+            rows, offsets, groups = _groups_of(whole, least, unit=unit)
             if not groups:
                 continue
             places = np.concatenate([at for at, _ in groups])
@@ -312,7 +352,7 @@ def _mark(pieces: DataFrame, least: int) -> DataFrame:
     return _by_anchor(pieces).mapInArrow(run, _MARKS)
 
 
-def _steps(pieces: DataFrame, least: int, step: int) -> DataFrame:
+def _steps(pieces: DataFrame, least: int, step: int, unit: int = 1) -> DataFrame:
     """Segments of the segments: windows whose distances from the anchor fall into one step.
 
     The anchor of a run is the hash of the old one, of the step, and of the
@@ -325,15 +365,15 @@ def _steps(pieces: DataFrame, least: int, step: int) -> DataFrame:
         for b in batches:
             out: list[list] = [[] for _ in names]
             for anchor, seg, rel, left, body in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                last, at = len(body) - least, 0
+                last, at = len(body) // unit - least, 0
                 while at <= last:
                     kind = (rel - at) // step
                     start = rel - kind * step  # of the window nearest to the anchor
                     end = min(last, start)
-                    core = body[start : start - step + 1 + least]
+                    core = body[start * unit : (start - step + 1 + least) * unit]
                     mark = _hash(anchor.to_bytes(8, "little", signed=True) + kind.to_bytes(2, "little") + core)
-                    own = _hash((rel - at).to_bytes(2, "little") + body[at : end + least])
-                    values = (anchor, seg, at, end - at + 1, rel - at, left if at == 0 else body[at - 1], int.from_bytes(mark, "little", signed=True), int.from_bytes(own, "little", signed=True))
+                    own = _hash((rel - at).to_bytes(2, "little") + body[at * unit : (end + least) * unit])
+                    values = (anchor, seg, at, end - at + 1, rel - at, left if at == 0 or unit > 1 else body[at - 1], int.from_bytes(mark, "little", signed=True), int.from_bytes(own, "little", signed=True))
                     for column, x in zip(out, values, strict=True):
                         column.append(x)
                     at = end + 1
@@ -346,7 +386,7 @@ def _steps(pieces: DataFrame, least: int, step: int) -> DataFrame:
 _RUNS = "o1 long, o2 long, lo int, windows int, rel int, left short, anchor long, seg long"
 
 
-def _tables(found: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def _tables(found: DataFrame, least: int, unit: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Staged: all runs of anchors that occur twice; their different segments; the hot anchors, and how many those are."""
     count = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("c > 1")
     shared = stage(found.join(count.select("anchor", (F.col("a") == F.col("b")).alias("alike")), "anchor"), "repeat-shared")
@@ -355,31 +395,31 @@ def _tables(found: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFra
     entries = differ.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min("x").alias("x"), F.min("left").alias("l0"), F.max("left").alias("l1"))
     entries = entries.select("anchor", "seg", "n", "x.*", (F.col("x.windows") + (least - 1)).alias("size"), F.when(F.col("l0") == F.col("l1"), F.col("l0")).otherwise(-1).cast("int").alias("left"))
     entries = stage(entries, "repeat-entries")
-    hot, n_hot = stage_counted(entries.groupBy("anchor").agg(F.sum("size").alias("s")).where(F.col("s") > HOT_BYTES).select("anchor"), "repeat-hot")
+    hot, n_hot = stage_counted(entries.groupBy("anchor").agg(F.sum("size").alias("s")).where(F.col("s") * unit > HOT_BYTES).select("anchor"), "repeat-hot")
     return shared, entries, hot, n_hot
 
 
-def _within(pieces: DataFrame):
+def _within(pieces: DataFrame, unit: int = 1):
     """A way to get the bytes of runs of staged pieces."""
 
     def fetch(wanted: DataFrame) -> DataFrame:
         whole = pieces.select(F.col("anchor").alias("o1"), F.col("seg").alias("o2"), "body")
-        return wanted.join(whole, ["o1", "o2"]).select("anchor", "seg", "rel", "left", F.substring("body", F.col("lo") + 1, F.col("size")).alias("body"))
+        return wanted.join(whole, ["o1", "o2"]).select("anchor", "seg", "rel", "left", F.substring("body", F.col("lo") * unit + 1, F.col("size") * unit).alias("body"))
 
     return fetch
 
 
-def _repeating(found: DataFrame, fetch, least: int, step: int = STEP) -> DataFrame:
+def _repeating(found: DataFrame, fetch, least: int, step: int = STEP, unit: int = 1) -> DataFrame:
     """(o1, o2, start, end): what repeats of the owners of the runs `found`."""
-    shared, entries, hot, n_hot = _tables(found, least)
+    shared, entries, hot, n_hot = _tables(found, least, unit)
     if n_hot:
         pieces = stage(fetch(entries), "repeat-pieces")
-        marks = _mark(pieces.join(hot, "anchor", "left_anti"), least)
+        marks = _mark(pieces.join(hot, "anchor", "left_anti"), least, unit)
         pieces = stage(pieces.join(hot, "anchor"), "repeat-hot-pieces")
-        inner = _repeating(stage(_steps(pieces, least, step), "repeat-runs"), _within(pieces), least, 1)
+        inner = _repeating(stage(_steps(pieces, least, step, unit), "repeat-runs"), _within(pieces, unit), least, 1, unit)
         marks = marks.unionByName(inner.groupBy(F.col("o1").alias("anchor"), F.col("o2").alias("seg")).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     else:
-        marks = _mark(fetch(entries), least)
+        marks = _mark(fetch(entries), least, unit)
     # All of a segment that occurs twice repeats.
     full = F.array(F.struct(F.lit(0).alias("start"), (F.col("windows") + (least - 1)).alias("end")))
     counted = shared.where("not alike").join(entries.select("anchor", "seg", "n"), ["anchor", "seg"]).join(stage(marks, "repeat-marks"), ["anchor", "seg"], "left")
@@ -389,18 +429,28 @@ def _repeating(found: DataFrame, fetch, least: int, step: int = STEP) -> DataFra
     return each.select("o1", "o2", (F.col("lo") + F.col("s.start")).alias("start"), (F.col("lo") + F.col("s.end")).alias("end"))
 
 
-def _found(docs: DataFrame, least: int) -> DataFrame:
-    return stage(segments(docs, least).withColumnsRenamed({"id": "o1", "tkey": "o2"}), "repeat-segments")
+def _found(docs: DataFrame, least: int, unit: int = 1) -> DataFrame:
+    return stage(segments(docs, least, unit).withColumnsRenamed({"id": "o1", "tkey": "o2"}), "repeat-segments")
 
 
-def _from_docs(docs: DataFrame):
-    return lambda wanted: _fetch(wanted.withColumnsRenamed({"o1": "id", "o2": "tkey"}), docs)
+def _from_docs(docs: DataFrame, unit: int = 1):
+    return lambda wanted: _fetch(wanted.withColumnsRenamed({"o1": "id", "o2": "tkey"}), docs, unit)
 
 
 def spans(docs: DataFrame, least: int = MIN) -> DataFrame:
     """id, tkey and the spans (bytes, from start to end) that repeat, per text that has any; spans may overlap."""
     ship(docs.sparkSession)
-    each = _repeating(_found(docs, least), _from_docs(docs), least)
+    return _per_text(_repeating(_found(docs, least), _from_docs(docs), least))
+
+
+def passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
+    """id, tkey and the spans (words, from start to end) that repeat anywhere, the same text included; spans may overlap."""
+    ship(docs.sparkSession)
+    step = max(1, min(STEP, least // 8))  # the windows of a step have most of their words in common
+    return _per_text(_repeating(_found(docs, least, WORD), _from_docs(docs, WORD), least, step, WORD))
+
+
+def _per_text(each: DataFrame) -> DataFrame:
     return each.groupBy(F.col("o1").alias("id"), F.col("o2").alias("tkey")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -414,11 +464,15 @@ def _merged(spans_: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-_REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>, kept binary"
+_REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>, kept binary, n_passage_words long"
 
 
-def remove(docs: DataFrame, least: int = MIN, digest: bool = False) -> DataFrame:
-    """Every document's repeated spans, merged, and the bytes that are left (or their SHA-256)."""
+def remove(docs: DataFrame, least: int = MIN, digest: bool = False, words: int | None = None) -> DataFrame:
+    """Every document's repeated spans, merged, and the bytes that are left (or their SHA-256).
+
+    n_passage_words: words in strings of `words` words that start anywhere else
+    too (null without `words`); they are counted only, not removed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -426,6 +480,7 @@ def remove(docs: DataFrame, least: int = MIN, digest: bool = False) -> DataFrame
         open_ = zstandard.ZstdDecompressor()
         for b in batches:
             n_bytes, n_removed, merged, kept = [], [], [], []
+            n_words = [None if x is None else sum(v - u for u, v in _merged([(y["start"], y["end"]) for y in x])) for x in b.column(3).to_pylist()]
             for blob, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 text = open_.decompress(blob)
                 parts, done = [], 0
@@ -440,13 +495,17 @@ def remove(docs: DataFrame, least: int = MIN, digest: bool = False) -> DataFrame
                 rest = b"".join(parts)
                 kept.append(hashlib.sha256(rest).digest() if digest else rest)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(x) for x in merged], pa.int64()), pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())],
-                [c.split()[0] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept")],
+                [b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(x) for x in merged], pa.int64()), pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()), pa.array(n_words, pa.int64())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "n_passage_words"],
             )
 
     both = _packed(docs).join(stage(spans(docs, least), "repeat-spans"), ["id", "tkey"], "left")
+    in_words = F.lit(None).cast("array<struct<start:int,end:int>>")
+    if words:
+        both = both.join(stage(passages(docs, words).withColumnRenamed("spans", "in_words"), "repeat-passages"), ["id", "tkey"], "left")
+        in_words = F.coalesce("in_words", F.array().cast("array<struct<start:int,end:int>>"))
     plain = F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id")
-    return both.select(plain, "blob", "spans").mapInArrow(run, _REMOVED)
+    return both.select(plain, "blob", "spans", in_words.alias("in_words")).mapInArrow(run, _REMOVED)
 
 
 def _starts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
